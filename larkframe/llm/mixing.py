@@ -117,11 +117,11 @@ def finish_time(copy):
     return F.when(F.col("target") > 0, F.least(end / F.col("target"), F.lit(1.0))).otherwise(1.0)
 
 
-def by_finish(df: DataFrame, n: int | None = None) -> DataFrame:
-    """Global order by `finish`: ranges of virtual time hold equal words, so no sample is needed to cut them."""
-    n = n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part = F.least(F.floor(F.col("finish") * n), F.lit(n - 1)).cast("int")
-    return df.repartitionById(n, part).sortWithinPartitions("finish", "doc_id")
+def by_finish(df: DataFrame, finish: str, tie: str) -> DataFrame:
+    """Global order by finish time: ranges of virtual time hold equal words, so no sample is needed to cut them. Rows without one come last in their task, spread by hash."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.coalesce(F.least(F.floor(F.col(finish) * n), F.lit(n - 1)), F.pmod(F.xxhash64(tie), F.lit(n))).cast("int")
+    return df.repartitionById(n, part).sortWithinPartitions(F.col(finish).asc_nulls_last(), tie)
 
 
 def mix(docs: DataFrame, cycle=CYCLE, max_repeat: int = MAX_REPEAT, seed: int = 7) -> DataFrame:
@@ -131,14 +131,12 @@ def mix(docs: DataFrame, cycle=CYCLE, max_repeat: int = MAX_REPEAT, seed: int =
     plan = plan.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), F.col("finish").alias("_finish"))
     whole = docs.withColumn("_k", _shuffle_key(seed))
     mixed = whole.join(plan, whole["doc_id"].eqNullSafe(plan["_doc"]) & (whole["_k"] == plan["_key"]))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part = F.least(F.floor(F.col("_finish") * n), F.lit(n - 1)).cast("int")
-    return mixed.repartitionById(n, part).sortWithinPartitions("_finish", "doc_id").select(*[docs[c] for c in docs.columns])
+    return by_finish(mixed, "_finish", "_doc").select(*[docs[c] for c in docs.columns])
 
 
 def taken(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """What the mix takes of each row of `docs`: doc_id, size, source_size, target, taken, copies, finish (of the first copy)."""
-    plan = fair_queue(docs, seed=seed).withColumn("finish", finish_time(F.lit(0)))
+    """What the mix takes of each row of `docs`: doc_id, size, source_size, target, taken, copies, finish (of the first copy; null if none is taken)."""
+    plan = fair_queue(docs, seed=seed).withColumn("finish", F.when(F.col("copies") > 0, finish_time(F.lit(0))))
     rows = plan.select("*", F.explode(F.sequence(F.lit(1), F.col("n_rows"))).alias("_row"))
-    rows = by_finish(rows)
+    rows = by_finish(rows, "finish", "doc_id")
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "finish", "source")
