@@ -86,11 +86,11 @@ def formatted(turns: DataFrame) -> DataFrame:
 SQL = f"""
 WITH turns AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
 whole AS (
-  SELECT conv_id, list(struct_pack(r := role, x := text) ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS ts
+  SELECT conv_id, list(struct_pack(r := role, x := text) ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS ts,
+    string_agg('{OPEN}' || coalesce(role, 'user') || chr(10) || coalesce(text, '') || '{CLOSE}' || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS rendered
   FROM turns GROUP BY conv_id),
-one AS (SELECT ts, min(conv_id) AS conv_id, count(*) AS n_logged FROM whole GROUP BY ts),
+one AS (SELECT ts, min(conv_id) AS conv_id, count(*) AS n_logged, min(rendered) AS text FROM whole GROUP BY ts),
 prefixes AS (SELECT DISTINCT list_slice(ts, 1, k) AS ts FROM (SELECT ts, unnest(range(1, len(ts))) AS k FROM whole))
-SELECT conv_id, CAST(len(ts) AS BIGINT) AS n_turns, CAST(n_logged AS BIGINT) AS n_logged,
-  array_to_string(list_transform(ts, t -> '{OPEN}' || coalesce(t.r, 'user') || chr(10) || coalesce(t.x, '') || '{CLOSE}' || chr(10)), '') AS text
+SELECT conv_id, CAST(len(ts) AS BIGINT) AS n_turns, CAST(n_logged AS BIGINT) AS n_logged, text
 FROM one WHERE NOT EXISTS (SELECT 1 FROM prefixes p WHERE p.ts = one.ts)
 """
