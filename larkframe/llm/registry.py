@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkframe.llm import chat, langid, mixing, packing, simhash, topk, urls
+from larkframe.llm import chat, langid, lm, mixing, packing, simhash, topk, urls
 from larkframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,10 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted(table(spark, sf_dir, "conversations"))
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(table(spark, sf_dir, "documents"))
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predicted(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ def queries() -> dict[str, Query]:
         "op5_urls": op5_urls,
         "op7_simhash": op7_simhash,
         "op8_chat": op8_chat,
+        "op9_lm": op9_lm,
         "op10_langid": op10_langid,
     }
 
