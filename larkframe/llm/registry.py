@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkframe.llm import chat, langid, lm, mixing, packing, simhash, topk, urls
+from larkframe.llm import chat, dedup, langid, lm, mixing, packing, simhash, topk, urls
 from larkframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "finish")
 
 
+def op2_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.classes(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_mixing": op1_mixing,
+        "op2_dedup": op2_dedup,
         "op3_packing": op3_packing,
         "op4_topk": op4_topk,
         "op5_urls": op5_urls,
