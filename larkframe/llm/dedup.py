@@ -316,6 +316,17 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("doc"), F.col("v").alias("class")).unionByName(now.select(F.col("v").alias("doc"), F.col("v").alias("class")).distinct())
 
 
+def _text_classes(docs: DataFrame, similar: float) -> tuple[DataFrame, DataFrame]:
+    """(rows: doc_id, doc, odd), (texts: doc, class_id, n_copies, kept: the text that stands for its class)."""
+    keyed = docs.filter("text is not null and doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("doc"))
+    rows = stage(docs.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.xxhash64("text")).alias("doc"), (F.col("text").isNull() | F.col("doc_id").isNull()).alias("odd")), "dedup-ids")
+    own = components(links(keyed, similar))
+    texts = rows.filter("not odd").groupBy("doc").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_copies"))
+    texts = stage(texts.join(own, "doc", "left").withColumn("class", F.coalesce("class", "doc")), "dedup-classes")
+    named = texts.groupBy("class").agg(F.min(F.struct("first", "doc")).alias("least"))
+    return rows, texts.join(named, "class").select("doc", F.col("least.first").alias("class_id"), "n_copies", (F.col("doc") == F.col("least.doc")).alias("kept"))
+
+
 def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """Class of every row of documents: doc_id, class_id (the smallest doc_id of the class), n_copies (rows with its text).
 
@@ -323,12 +334,15 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     or a null doc_id are classes of their own (class_id = doc_id, n_copies 1).
     Repeated rows stay and share a class. No rows give no rows.
     """
-    keyed = docs.filter("text is not null and doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("doc"))
-    ids = stage(docs.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.xxhash64("text")).alias("doc"), (F.col("text").isNull() | F.col("doc_id").isNull()).alias("odd")), "dedup-ids")
-    own = components(links(keyed, similar))
-    texts = ids.filter("not odd").groupBy("doc").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_copies"))
-    texts = stage(texts.join(own, "doc", "left").withColumn("class", F.coalesce("class", "doc")), "dedup-classes")
-    named = texts.groupBy("class").agg(F.min("first").alias("class_id"))
-    texts = texts.join(named, "class").select("doc", "class_id", "n_copies")
-    rows = ids.filter("not odd").join(texts, "doc").select("doc_id", "class_id", "n_copies")
-    return rows.unionByName(ids.filter("odd").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("n_copies")))
+    rows, texts = _text_classes(docs, similar)
+    odd = rows.filter("odd").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("n_copies"))
+    return rows.filter("not odd").join(texts, "doc").select("doc_id", "class_id", "n_copies").unionByName(odd)
+
+
+def kept(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """One row of each class with all columns: the smallest doc_id's. Rows with a null text or doc_id stay."""
+    _, texts = _text_classes(docs, similar)
+    stay = stage(texts.filter("kept").select(F.col("doc").alias("_doc"), F.col("class_id").alias("_id")), "dedup-stay")
+    own = docs.withColumn("_h", F.xxhash64("text"))
+    one = own.filter("text is not null and doc_id is not null").join(stay, (F.col("_h") == F.col("_doc")) & (F.col("doc_id") == F.col("_id")), "left_semi").dropDuplicates(["_h", "doc_id"])
+    return one.unionByName(own.filter("text is null or doc_id is null")).drop("_h")

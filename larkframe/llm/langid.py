@@ -213,14 +213,15 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame
         return docs.select(*keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     arrow_batches(docs.sparkSession, 500)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages floats
-    rows = docs.select(*keep, F.col("text").alias("_text"))
-    at = len(keep)
+    # The text goes along once, also where it is kept.
+    rows = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
+    at, n = rows.columns.index("text"), len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
             got = [own.predict(t.as_py()) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*keep, "lang_pred", "score"])
 
     types = dict(docs.dtypes)
     return rows.mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in keep), "lang_pred string", "score double"]))
@@ -235,3 +236,14 @@ def predicted(docs: DataFrame) -> DataFrame:
     flagged = docs.select("doc_id", "text", "lang", held_out().alias("held_out"))
     model = fit(flagged.filter("not held_out"))
     return identify(flagged, model, ["doc_id", "held_out"])
+
+
+def clean(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """The documents, with their columns, whose main language holds `least` of the letters; `und` goes.
+
+    Learned from the labelled ones among them.
+    """
+    model = fit(docs.select("doc_id", "text", "lang"))
+    plain = docs.withColumnsRenamed({c: f"_{c}" for c in ("lang_pred", "score") if c in docs.columns})
+    judged = identify(plain, model, plain.columns)
+    return judged.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).drop("lang_pred", "score").toDF(*docs.columns)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkframe.llm import chat, dedup, langid, lm, mixing, packing, simhash, topk, urls
+from larkframe.llm import chat, counts, dedup, langid, lm, mixing, packing, simhash, topk, urls
 from larkframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,10 @@ def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.recounted(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ def queries() -> dict[str, Query]:
         "op3_packing": op3_packing,
         "op4_topk": op4_topk,
         "op5_urls": op5_urls,
+        "op6_counts": op6_counts,
         "op7_simhash": op7_simhash,
         "op8_chat": op8_chat,
         "op9_lm": op9_lm,

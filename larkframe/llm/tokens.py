@@ -43,6 +43,9 @@ class ByteBpe:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._ids = own.encode_ordinary
+        self._lengths = _Pieces(lambda piece: len(self._ids(piece)), "")
+        #: Tokens of a run, by a cache of its own; special tokens' strings are ordinary text here.
+        self.count_run = self._lengths.__getitem__
         self._first = _Pieces(self._bytes, "")
         self._rest = _Pieces(self._bytes, " ")
 
