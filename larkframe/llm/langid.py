@@ -26,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkframe.llm.common import arrow_batches
+from larkframe.llm.common import arrow_batches, stage
 
 UNKNOWN = "und"
-#: Labelled documents per language that the model is fitted on, and letters that are read of them all.
+#: Labelled documents per language that the model is fitted on; they are read whole.
 SAMPLE = 400
+#: Rows of the sample's ids (24 bytes each) that are broadcast at most.
+BROADCAST = 50_000
 SWITCH = 12.0
 #: Buckets of trigram hashes.
 BUCKETS = 1 << 16
@@ -171,7 +173,10 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     rows = labelled.filter("lang is not null and text is not null").select("doc_id", "lang", "text")
     chosen = rows.select("doc_id", "lang").withColumn("rank", rank).filter(F.col("rank") <= sample).select(F.col("doc_id").alias("d"), F.col("lang").alias("l")).distinct()
-    rows = rows.join(chosen, (rows["doc_id"] == chosen["d"]) & (rows["lang"] == chosen["l"]), "left_semi").select("lang", "text")
+    chosen = stage(chosen, "langid-sample")
+    # At most `sample` rows a language; sent to all tasks where that is known to be little, so that no text is shuffled.
+    small = F.broadcast(chosen) if chosen.count() <= BROADCAST else chosen
+    rows = rows.join(small, (rows["doc_id"] == chosen["d"]) & (rows["lang"] == chosen["l"]), "left_semi").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams: dict[str, np.ndarray] = {}

@@ -69,9 +69,11 @@ def as_text(fp: Column) -> Column:
 
 def _ranges(rows: DataFrame, n: int) -> Column:
     """A range number that grows with doc_id, about RANGE rows each: bounds at quantiles, each range cut evenly."""
+    if not n:
+        return F.lit(0).cast("long")
     count = min(MOST_BOUNDS, -(-n // RANGE))
     cuts = [k / count for k in range(count + 1)]
-    bounds = rows.agg(F.percentile_approx("doc_id", F.array(*[F.lit(c) for c in cuts]), F.lit(20 * MOST_BOUNDS))).first()[0] if n else None
+    bounds = rows.agg(F.percentile_approx("doc_id", F.array(*[F.lit(c) for c in cuts]), F.lit(20 * MOST_BOUNDS))).first()[0]
     if not bounds:
         return F.lit(0).cast("long")
     bounds = sorted(set(bounds))

@@ -40,6 +40,8 @@ EDGES = {
 TREES, DEPTH, RATE, RIDGE = 8, 3, 0.4, 2.0
 #: Weight of the overall block rate in a suffix's statistic.
 PRIOR = 8.0
+#: Folds of URLs whose labels are kept from their own statistics.
+FOLDS = 5
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -98,12 +100,22 @@ def lexical(pages: DataFrame) -> DataFrame:
 STATISTICS = (("host_suffix", "h_suffix"), ("path_prefix", "p_prefix"), ("path_end", "e_end"))
 
 
-def with_statistics(df: DataFrame, labelled: DataFrame) -> DataFrame:
-    """Adds the smoothed share of blocked URLs per suffix text, from `labelled` (the texts and y)."""
-    rate = labelled.agg(F.coalesce(F.avg("y"), F.lit(0.5))).first()[0]
+def with_statistics(df: DataFrame, labelled: DataFrame, rate: float, apart: bool = False) -> DataFrame:
+    """Adds the smoothed share of blocked URLs per suffix text, from `labelled` (the texts, y, fold).
+
+    With `apart`, a row's own fold of URLs does not count, so that a model
+    fitted on the statistics does not see a row's label in them.
+    """
     for feature, text in STATISTICS:
-        known = labelled.groupBy(text).agg(((F.sum("y") + PRIOR * rate) / (F.count("*") + PRIOR)).alias(feature))
-        df = df.join(known, text, "left").withColumn(feature, F.coalesce(feature, F.lit(rate)))
+        folds = labelled.groupBy(text, "fold").agg(F.sum("y").alias("s"), F.count("*").alias("n"))
+        known = folds.groupBy(text).agg(F.sum("s").alias("ts"), F.sum("n").alias("tn"))
+        if apart:
+            known = known.join(folds, text)
+            ratio = (F.col("ts") - F.col("s") + PRIOR * rate) / (F.col("tn") - F.col("n") + PRIOR)
+            df = df.join(known.select(text, "fold", ratio.alias(feature)), [text, "fold"], "left")
+        else:
+            df = df.join(known.select(text, ((F.col("ts") + PRIOR * rate) / (F.col("tn") + PRIOR)).alias(feature)), text, "left")
+        df = df.withColumn(feature, F.coalesce(feature, F.lit(rate)))
     return df
 
 
@@ -177,10 +189,10 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     the model. Repeated rows are judged alike. No rows give no rows.
     """
     known = stage(lexical(pages).withColumn("hit", matched(F.col("host"), F.col("path"), rules)), "url-features")
-    labelled = known.filter("hit is not null").withColumn("y", (F.col("hit.verdict") == "block").cast("int"))
-    seen = with_statistics(labelled, labelled).select("y", *[binned(f).alias(f"b_{f}") for f in EDGES])
-    model = fit(seen)
-    scored = with_statistics(known, labelled).select("page_id", "host", "path", "hit", *[binned(f).alias(f"b_{f}") for f in EDGES])
+    labelled = known.filter("hit is not null").withColumn("y", (F.col("hit.verdict") == "block").cast("int")).withColumn("fold", F.pmod(F.xxhash64("url"), F.lit(FOLDS)))
+    rate = labelled.agg(F.coalesce(F.avg("y"), F.lit(0.5))).first()[0]
+    model = fit(with_statistics(labelled, labelled, rate, apart=True).select("y", *[binned(f).alias(f"b_{f}") for f in EDGES]))
+    scored = with_statistics(known, labelled, rate).select("page_id", "host", "path", "hit", *[binned(f).alias(f"b_{f}") for f in EDGES])
     margin = model.margin()
     return scored.select(
         "page_id", "host", "path", F.col("hit.rule").alias("rule"),
