@@ -8,7 +8,8 @@ one exactly by 1 - 2 N[s].
 
 When a group's pieces have all been placed, sequences that are still open are
 dissolved and their pieces dealt again, longest first, into the smallest gap
-that holds them; the better of the two outcomes stays.
+that holds them. Pieces are placed in a shuffled order and longest first; the
+best outcome stays.
 
 Pieces are dealt to groups of about `GROUP` by hash, so a group is packed in
 one task and the waste is a few sequences per group at any size of the input.
@@ -128,12 +129,18 @@ def close_open(lengths: np.ndarray, seq: np.ndarray, size: int = LENGTH) -> tupl
 
 
 def place(lengths: np.ndarray, size: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence and offset of each piece: sum of squares, then its open sequences closed."""
-    seq, offset = sum_of_squares(lengths, size)
-    if not len(seq):
-        return seq, offset
-    again = close_open(lengths, seq, size)
-    return again if again[0].max() <= seq.max() else (seq, offset)
+    """Sequence and offset of each piece: by sum of squares in the order given and longest first, the open sequences closed; the best outcome."""
+    if not len(lengths):
+        return lengths, lengths
+    best = None
+    for order in (np.arange(len(lengths)), np.argsort(-lengths, kind="stable")):
+        plain = sum_of_squares(lengths[order], size)
+        for seq, offset in (plain, close_open(lengths[order], plain[0], size)):
+            if best is None or seq.max() < best[0].max():
+                back = np.empty(len(order), np.int64)
+                back[order] = np.arange(len(order))
+                best = seq[back], offset[back]
+    return best
 
 
 def pack(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, tokenizers: str | None = None) -> DataFrame:
