@@ -69,4 +69,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat": chat.SQL}
+    return {"op4_topk": topk.SQL, "op8_chat": chat.SQL}
