@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import base64
 import html
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 EMPTY = "(empty result)"
+ARROW = "application/vnd.apache.arrow.stream"
 #: Rows that a notebook shows.
 SHOWN = 100
 
@@ -44,11 +47,15 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def mimebundle(df: DataFrame, shown: int = SHOWN) -> dict[str, str]:
-    """What a notebook displays: at most `shown` rows; only those and one more are computed."""
-    frame = df.limit(shown + 1).toPandas()
-    more = len(frame) > shown
-    frame = frame.head(shown)
+    """What a notebook displays: at most `shown` rows as text, HTML and an Arrow stream (base64); only those and one more are computed."""
+    table = df.limit(shown + 1).toArrow()
+    more = table.num_rows > shown
+    table = table.slice(0, shown)
+    frame = table.to_pandas()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as w:
+        w.write_table(table)
     text = pretty(frame) + (f"\n... (more than {shown} rows)" if more else "")
     head = "".join(f"<th>{html.escape(str(c))}</th>" for c in frame.columns)
     body = "".join("<tr>" + "".join(f"<td>{html.escape(_cell(x))}</td>" for x in row) + "</tr>" for row in frame.itertuples(index=False))
-    return {"text/plain": text, "text/html": f"<table><thead><tr>{head}</tr></thead><tbody>{body}</tbody></table>" + (f"<p>more than {shown} rows</p>" if more else "")}
+    return {ARROW: base64.b64encode(sink.getvalue()).decode(), "text/plain": text, "text/html": f"<table><thead><tr>{head}</tr></thead><tbody>{body}</tbody></table>" + (f"<p>more than {shown} rows</p>" if more else "")}

@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.ansi.enabled": "true",
+    # Nanosecond timestamps load as whole numbers; Spark has no type for them.
+    "spark.sql.legacy.parquet.nanosAsLong": "true",
     "spark.ui.showConsoleProgress": "false",
 }
 

@@ -1,5 +1,6 @@
 """Catalog, engine, plans, formats, command line and generator."""
 
+import base64
 import json
 
 import pandas as pd
@@ -117,6 +118,8 @@ def test_mimebundle(spark):
     got = formats.mimebundle(spark.range(150))
     assert "more than 100 rows" in got["text/plain"] and got["text/html"].count("<tr>") == 101
     assert "<tr>" in formats.mimebundle(spark.range(2))["text/html"]
+    with pa.ipc.open_stream(base64.b64decode(got[formats.ARROW])) as stream:
+        assert stream.read_all().column("id").to_pylist() == list(range(100))
 
 
 def test_cells(engine):
