@@ -136,10 +136,10 @@ def _requests(own: Chunk, ids: list, held: np.ndarray, ranges: int) -> Iterator[
     for kind, keys, codes, bits in ((_WORDS, own.words, own.tokens, 64), (_PAIRS, own.pairs, own.pair, 48)):
         counts = np.bincount(codes[train], minlength=len(keys))
         shift = np.uint64(bits - (ranges.bit_length() - 1))
-        cuts = np.searchsorted(keys, np.arange(ranges, dtype=np.uint64) << shift)
-        for part, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(keys)], strict=True)):
-            if b > a:
-                yield {"chunk": name, "kind": kind, "part": part, "keys": packed(keys[a:b]), "data": squeezed(counts[a:b])}
+        part = keys >> shift
+        cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(keys) else []
+        for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True):
+            yield {"chunk": name, "kind": kind, "part": int(part[a]), "keys": packed(keys[a:b]), "data": squeezed(counts[a:b])}
 
 
 def _chunks(ranges: int):
