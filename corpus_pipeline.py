@@ -14,7 +14,7 @@ from larkframe.llm.common import stage, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or without a language that holds half of their letters, go."""
+    """Documents without a letter, or without a language that holds 0.3 of their letters, go."""
     return langid.clean(docs)
 
 

@@ -170,9 +170,14 @@ def held_out(k: int = 5, rest: int = 0) -> Column:
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
     """The model of (doc_id, text, lang) rows; None where there is no labelled text."""
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     rows = labelled.filter("lang is not null and text is not null").select("doc_id", "lang", "text")
-    chosen = rows.select("doc_id", "lang").withColumn("rank", rank).filter(F.col("rank") <= sample).select(F.col("doc_id").alias("d"), F.col("lang").alias("l")).distinct()
+    # A document's place in [0, 1) is its hash; of each language about twice the sample come near 0, and of these the first.
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    ids = rows.select("doc_id", "lang", place.alias("place"))
+    many = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    ids = ids.join(many, "lang").filter(F.col("place") < F.lit(2.0 * sample) / F.col("n"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
+    chosen = ids.withColumn("rank", rank).filter(F.col("rank") <= sample).select(F.col("doc_id").alias("d"), F.col("lang").alias("l")).distinct()
     chosen = stage(chosen, "langid-sample")
     # At most `sample` rows a language; sent to all tasks where that is known to be little, so that no text is shuffled.
     small = F.broadcast(chosen) if chosen.count() <= BROADCAST else chosen
@@ -243,8 +248,8 @@ def predicted(docs: DataFrame) -> DataFrame:
     return identify(flagged, model, ["doc_id", "held_out"])
 
 
-def clean(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The documents, with their columns, whose main language holds `least` of the letters; `und` goes.
+def clean(docs: DataFrame, least: float = 0.3) -> DataFrame:
+    """The documents, with their columns, that have a language with a score of `least`; `und` goes.
 
     Learned from the labelled ones among them.
     """
