@@ -15,9 +15,10 @@
    buckets are the largest), exactly, by weighted Jaccard similarity. All the
    texts that share a centre form its star.
 5. What a star has left undecided are pairs of its members that are not both
-   linked to the centre. A member's shingles that no other member of the star
-   has bound its similarity to all of them, as does its weight; only pairs that
-   pass these bounds are compared, exactly. No pair within a bucket is lost.
+   linked to the centre. A member's distance from the centre, its weight and its
+   shingles that no other member of the star has bound its similarity to each of
+   them; only pairs that pass the bounds are compared, exactly. No pair of a
+   bucket is lost.
 6. Connected components of the links are the classes.
 """
 
@@ -37,7 +38,7 @@ WORDS = 5
 SIMILAR = 0.8
 BANDS, ROWS = 9, 3
 #: Counters in a row of the frequency table; a share of texts up to which shingles count as rare; how much idf adds.
-COUNTERS, RARE, SPREAD = 1 << 18, 1 / 64, 0.25
+COUNTERS, RARE, SPREAD = 1 << 18, 1 / 64, 0.1
 #: Pieces that the counters are added up in, and tasks that count (each leaves one table of counters).
 PARTS, COUNTING = 64, 2048
 #: Slots of the precomputed draws, steps of idf.
@@ -205,7 +206,7 @@ def signed(texts: DataFrame, shared) -> DataFrame:
 
 
 def _compared(pairs: DataFrame, shared, added: bool) -> DataFrame:
-    """Similarity of (a, ta), (b, tb); with `added`, also b's weight and the shingles of b that a has not."""
+    """Similarity of (a, ta), (b, tb); with `added`, also the weights of both and the shingles of b that a has not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple = (None, None)
@@ -217,18 +218,18 @@ def _compared(pairs: DataFrame, shared, added: bool) -> DataFrame:
                     held = (a, _vectors(pa.array([ta.as_py()], pa.string()), shared.value)[0])
                 sims.append(similarity(held[1], vb))
                 if added:
-                    own.append(float(vb[1].sum()))
+                    own.append((float(held[1][1].sum()), float(vb[1].sum())))
                     new = ~np.isin(vb[0], held[1][0], assume_unique=True)
                     more.append(vb[0][new].astype(np.int64))
                     weigh.append(vb[1][new])
             columns = [batch.column(0), batch.column(2), pa.array(sims, pa.float64())]
             names = ["a", "b", "similar"]
             if added:
-                columns += [pa.array(own, pa.float64()), pa.array(more, pa.list_(pa.int64())), pa.array(weigh, pa.list_(pa.float64()))]
-                names += ["weight", "new", "new_weight"]
+                columns += [pa.array([x for x, _ in own], pa.float64()), pa.array([x for _, x in own], pa.float64()), pa.array(more, pa.list_(pa.int64())), pa.array(weigh, pa.list_(pa.float64()))]
+                names += ["a_weight", "weight", "new", "new_weight"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    kind = "a long, b long, similar double" + (", weight double, new array<long>, new_weight array<double>" if added else "")
+    kind = "a long, b long, similar double" + (", a_weight double, weight double, new array<long>, new_weight array<double>" if added else "")
     return pairs.select("a", "ta", "b", "tb").mapInArrow(run, kind)
 
 
@@ -256,17 +257,30 @@ def undecided(members: DataFrame, similar: float) -> DataFrame:
     own = members.select("a", "b", F.explode(F.arrays_zip("new", "new_weight")).alias("x"))
     alone = own.groupBy("a", "x.new").agg(F.min("b").alias("b"), F.count("*").alias("n"), F.min("x.new_weight").alias("w")).filter("n = 1")
     alone = alone.groupBy("a", "b").agg(F.sum("w").alias("alone"))
-    kept = members.select("a", "b", "linked", "weight").join(alone, ["a", "b"], "left").withColumn("common", F.col("weight") - F.coalesce("alone", F.lit(0.0)))
-    # |x and y| >= s / (1 + s) (|x| + |y|), and at most what either shares with others: bounds on a partner's weight.
-    most = F.col("common") * ((1 + similar) / similar) - F.col("weight")
+    kept = members.select("a", "b", "linked", "similar", "a_weight", "weight").join(alone, ["a", "b"], "left").withColumn("alone", F.coalesce("alone", F.lit(0.0)))
+    # Two texts are similar if their distance, the sum of |x - y|, is at most k (|x| + |y|). Let d be a member's distance from
+    # the centre. What is alone in x or in y adds to their distance, and so does the difference of what is left of their d:
+    # distance >= d(x) - d(y) + 2 alone(y), and the same the other way round. So near(y) >= far(x) and near(x) >= far(y).
+    k = (1 - similar) / (1 + similar)
+    d = (F.col("weight") + F.col("a_weight")) * (1 - F.col("similar")) / (1 + F.col("similar"))
+    kept = kept.withColumn("near", d - 2 * F.col("alone") + k * F.col("weight")).withColumn("far", d - k * F.col("weight"))
+    # far(x) > k |centre| for each x that is not linked, which any partner must come near.
+    kept = kept.filter(~F.col("linked") | (F.col("near") >= k * F.col("a_weight") - _TINY))
+    # What x shares with others bounds a partner's weight, by |x and y| >= s / (1 + s) (|x| + |y|).
+    most = (F.col("weight") - F.col("alone")) * ((1 + similar) / similar) - F.col("weight")
     kept = kept.withColumn("low", F.col("weight") * similar).withColumn("high", F.least(most, F.col("weight") / similar))
-    kept = stage(kept.filter(F.col("high") >= F.col("low") - _TINY), "dedup-kept")
+    kept = stage(kept.filter(F.col("high") >= F.col("low") - _TINY).drop("similar", "a_weight", "alone"), "dedup-kept")
     step = F.lit(float(np.log(1 / similar)))
-    x = kept.filter("not linked").select("a", F.col("b").alias("x"), F.col("weight").alias("xw"), F.col("low").alias("xl"), F.col("high").alias("xh"))
-    x = x.withColumn("cell", F.explode(F.sequence(F.floor(F.log(F.col("xl") - _TINY) / step), F.floor(F.log(F.greatest("xh", "xl") + _TINY) / step))))
-    y = kept.select("a", F.col("b").alias("y"), F.col("weight").alias("yw"), F.col("low").alias("yl"), F.col("high").alias("yh"), "linked", F.floor(F.log("weight") / step).alias("cell"))
-    rest = x.join(y, ["a", "cell"]).filter((F.col("x") != F.col("y")) & (F.col("linked") | (F.col("x") < F.col("y"))))
-    rest = rest.filter(F.col("yw").between(F.col("xl") - _TINY, F.col("xh") + _TINY) & F.col("xw").between(F.col("yl") - _TINY, F.col("yh") + _TINY))
+
+    def side(v: str, df: DataFrame) -> DataFrame:
+        return df.select("a", F.col("b").alias(v), *[F.col(c).alias(v + c) for c in ("linked", "weight", "low", "high", "near", "far")])
+
+    cell = lambda c: F.floor(F.log(c) / step)
+    x = side("x", kept.filter("not linked")).withColumn("cell", F.explode(F.sequence(cell(F.col("xlow") - _TINY), cell(F.greatest("xhigh", "xlow") + _TINY))))
+    y = side("y", kept).withColumn("cell", cell(F.col("yweight")))
+    rest = x.join(y, ["a", "cell"]).filter((F.col("x") != F.col("y")) & (F.col("ylinked") | (F.col("x") < F.col("y"))))
+    rest = rest.filter((F.col("ynear") >= F.col("xfar") - _TINY) & (F.col("xnear") >= F.col("yfar") - _TINY))
+    rest = rest.filter(F.col("yweight").between(F.col("xlow") - _TINY, F.col("xhigh") + _TINY) & F.col("xweight").between(F.col("ylow") - _TINY, F.col("yhigh") + _TINY))
     return rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -324,7 +338,9 @@ def _text_classes(docs: DataFrame, similar: float) -> tuple[DataFrame, DataFrame
     texts = rows.filter("not odd").groupBy("doc").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_copies"))
     texts = stage(texts.join(own, "doc", "left").withColumn("class", F.coalesce("class", "doc")), "dedup-classes")
     named = texts.groupBy("class").agg(F.min(F.struct("first", "doc")).alias("least"))
-    return rows, texts.join(named, "class").select("doc", F.col("least.first").alias("class_id"), "n_copies", (F.col("doc") == F.col("least.doc")).alias("kept"))
+    texts = texts.join(named, "class").select("doc", F.col("least.first").alias("class_id"), "n_copies", (F.col("doc") == F.col("least.doc")).alias("kept"))
+    # Staged, so that what joins it on doc is dealt anew and a text with many copies can be split.
+    return rows, stage(texts, "dedup-named")
 
 
 def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
