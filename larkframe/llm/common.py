@@ -31,6 +31,16 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def _staged(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/stage/{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> bool:
+    """Deletes all tables that this application has staged; results that were not written elsewhere go with them."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(_staged(spark))
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def stage(df: DataFrame, tag: str) -> DataFrame:
     """Writes a table to the shared folder and reads it again.
 
@@ -38,7 +48,7 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     repeat the work before it.
     """
     spark = df.sparkSession
-    at = f"{shared_dir(spark)}/stage/{tag}-{uuid.uuid4().hex}"
+    at = f"{_staged(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
