@@ -249,15 +249,18 @@ def stars(rows: DataFrame) -> DataFrame:
     return rows.join(heads, ["band", "h"]).select("a", F.col("doc").alias("b")).filter("a != b").distinct()
 
 
-def undecided(members: DataFrame, similar: float) -> DataFrame:
-    """(a, b), a < b: pairs of members of a star that may be similar and are not both linked to its centre."""
+def undecided(members: DataFrame, classes_: DataFrame, similar: float) -> DataFrame:
+    """(a, b), a < b: pairs of members of a star that may be similar and are not known to be of one class."""
     members = members.withColumn("linked", F.col("similar") >= similar - _TINY)
     open_ = members.groupBy("a").agg(F.count("*").alias("n"), F.min("linked").alias("all")).filter("n > 1 and not all").select("a")
     members = stage(members.join(open_, "a"), "dedup-open")
     own = members.select("a", "b", F.explode(F.arrays_zip("new", "new_weight")).alias("x"))
-    alone = own.groupBy("a", "x.new").agg(F.min("b").alias("b"), F.count("*").alias("n"), F.min("x.new_weight").alias("w")).filter("n = 1")
-    alone = alone.groupBy("a", "b").agg(F.sum("w").alias("alone"))
-    kept = members.select("a", "b", "linked", "similar", "a_weight", "weight").join(alone, ["a", "b"], "left").withColumn("alone", F.coalesce("alone", F.lit(0.0)))
+    own = own.select("a", "b", F.col("x.new").alias("new"), F.col("x.new_weight").alias("w"))
+    counts = own.groupBy("a", "new").agg(F.min("b").alias("b"), F.count("*").alias("n"), F.min("w").alias("w"))
+    alone = counts.filter("n = 1").groupBy("a", "b").agg(F.sum("w").alias("alone"))
+    kept = members.select("a", "b", "linked", "similar", "a_weight", "weight", F.aggregate("new_weight", F.lit(0.0), lambda x, y: x + y).alias("added"), F.coalesce(F.array_max("new_weight"), F.lit(0.0)).alias("top"))
+    kept = kept.join(alone, ["a", "b"], "left").withColumn("alone", F.coalesce("alone", F.lit(0.0)))
+    kept = kept.join(classes_.select(F.col("doc").alias("b"), "class"), "b", "left").withColumn("class", F.coalesce("class", "b"))
     # Two texts are similar if their distance, the sum of |x - y|, is at most k (|x| + |y|). Let d be a member's distance from
     # the centre. What is alone in x or in y adds to their distance, and so does the difference of what is left of their d:
     # distance >= d(x) - d(y) + 2 alone(y), and the same the other way round. So near(y) >= far(x) and near(x) >= far(y).
@@ -269,26 +272,33 @@ def undecided(members: DataFrame, similar: float) -> DataFrame:
     # What x shares with others bounds a partner's weight, by |x and y| >= s / (1 + s) (|x| + |y|).
     most = (F.col("weight") - F.col("alone")) * ((1 + similar) / similar) - F.col("weight")
     kept = kept.withColumn("low", F.col("weight") * similar).withColumn("high", F.least(most, F.col("weight") / similar))
-    kept = stage(kept.filter(F.col("high") >= F.col("low") - _TINY).drop("similar", "a_weight", "alone"), "dedup-kept")
+    kept = stage(kept.filter(F.col("high") >= F.col("low") - _TINY).withColumn("removed", d - F.col("added")).drop("similar", "a_weight", "alone"), "dedup-kept")
+    # The shingles that a member added and shares with other members of its star.
+    several = own.join(kept.select("a", "b"), ["a", "b"]).join(counts.filter("n > 1").select("a", "new"), ["a", "new"])
+    several = several.groupBy("a", "b").agg(F.collect_list("new").alias("several"))
+    kept = stage(kept.join(several, ["a", "b"], "left").withColumn("several", F.coalesce("several", F.array().cast("array<bigint>"))), "dedup-kept")
     step = F.lit(float(np.log(1 / similar)))
 
     def side(v: str, df: DataFrame) -> DataFrame:
-        return df.select("a", F.col("b").alias(v), *[F.col(c).alias(v + c) for c in ("linked", "weight", "low", "high", "near", "far")])
+        return df.select("a", F.col("b").alias(v), *[F.col(c).alias(v + c) for c in ("linked", "weight", "low", "high", "near", "far", "class", "added", "removed", "top", "several")])
 
     cell = lambda c: F.floor(F.log(c) / step)
     x = side("x", kept.filter("not linked")).withColumn("cell", F.explode(F.sequence(cell(F.col("xlow") - _TINY), cell(F.greatest("xhigh", "xlow") + _TINY))))
     y = side("y", kept).withColumn("cell", cell(F.col("yweight")))
-    rest = x.join(y, ["a", "cell"]).filter((F.col("x") != F.col("y")) & (F.col("ylinked") | (F.col("x") < F.col("y"))))
+    rest = x.join(y, ["a", "cell"]).filter((F.col("xclass") != F.col("yclass")) & (F.col("ylinked") | (F.col("x") < F.col("y"))))
     rest = rest.filter((F.col("ynear") >= F.col("xfar") - _TINY) & (F.col("xnear") >= F.col("yfar") - _TINY))
     rest = rest.filter(F.col("yweight").between(F.col("xlow") - _TINY, F.col("xhigh") + _TINY) & F.col("xweight").between(F.col("ylow") - _TINY, F.col("yhigh") + _TINY))
+    # Their distance is at least what both added and do not share, and the difference of what they lack of the centre.
+    common = F.size(F.array_intersect("xseveral", "yseveral")) * F.least("xtop", "ytop")
+    apart = F.col("xadded") + F.col("yadded") - 2 * common + F.abs(F.col("xremoved") - F.col("yremoved"))
+    rest = rest.filter(apart <= k * (F.col("xweight") + F.col("yweight")) + _TINY)
     return rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def links(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """Links (a, b) between texts, by their hashes: every two that share a band bucket and are `similar` or more are connected by links.
+def text_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """doc, class of every text that is linked to another: every two that share a band bucket and are `similar` or more are of one class.
 
-    docs: doc_id, doc (hash of the text), text, one row at least per text. Two
-    texts that are both linked to the centre of their star get no link of their own.
+    docs: doc_id, doc (hash of the text), text, one row at least per text.
     """
     spark = docs.sparkSession
     arrow_batches(spark, 200)
@@ -299,10 +309,18 @@ def links(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     one = docs.groupBy("doc").agg(F.min("doc_id").alias("doc_id")).join(needed, "doc", "left_semi")
     texts = stage(docs.join(one.select(F.col("doc").alias("_d"), F.col("doc_id").alias("_i")), (F.col("doc") == F.col("_d")) & (F.col("doc_id") == F.col("_i")), "left_semi").select("doc", "text").dropDuplicates(["doc"]), "dedup-texts")
     members = stage(_compared(_with_texts(near, texts), shared, True), "dedup-compared")
-    star = members.filter(F.col("similar") >= similar - _TINY).select("a", "b")
-    rest = stage(undecided(members, similar), "dedup-rest")
-    more = stage(_compared(_with_texts(rest, texts), shared, False), "dedup-more").filter(F.col("similar") >= similar - _TINY).select("a", "b")
-    return star.unionByName(more)
+    first = stage(components(members.filter(F.col("similar") >= similar - _TINY).select("a", "b")), "dedup-first")
+    rest = stage(undecided(members, first, similar), "dedup-rest")
+    more = stage(_compared(_with_texts(rest, texts), shared, False).filter(F.col("similar") >= similar - _TINY), "dedup-more")
+    if more.isEmpty():
+        return first
+    # Classes that the further links join.
+    named = lambda v: more.join(first.select(F.col("doc").alias(v), F.col("class").alias(f"c{v}")), v, "left").select("a", "b", F.coalesce(f"c{v}", v).alias(f"c{v}"))
+    edges = named("a").join(named("b"), ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    joined = stage(components(edges), "dedup-joined").select(F.col("doc").alias("class"), F.col("class").alias("whole"))
+    # A text that only the further links reach was no class before.
+    every = first.unionByName(more.select(F.explode(F.array("a", "b")).alias("doc")).distinct().join(first, "doc", "left_anti").withColumn("class", F.col("doc")))
+    return every.join(joined, "class", "left").select("doc", F.coalesce("whole", "class").alias("class"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -334,7 +352,7 @@ def _text_classes(docs: DataFrame, similar: float) -> tuple[DataFrame, DataFrame
     """(rows: doc_id, doc, odd), (texts: doc, class_id, n_copies, kept: the text that stands for its class)."""
     keyed = docs.filter("text is not null and doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("doc"))
     rows = stage(docs.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.xxhash64("text")).alias("doc"), (F.col("text").isNull() | F.col("doc_id").isNull()).alias("odd")), "dedup-ids")
-    own = components(links(keyed, similar))
+    own = text_classes(keyed, similar)
     texts = rows.filter("not odd").groupBy("doc").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_copies"))
     texts = stage(texts.join(own, "doc", "left").withColumn("class", F.coalesce("class", "doc")), "dedup-classes")
     named = texts.groupBy("class").agg(F.min(F.struct("first", "doc")).alias("least"))
