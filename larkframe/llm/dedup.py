@@ -14,11 +14,11 @@
 4. Texts of a band bucket are compared with the bucket's centre (the text whose
    buckets are the largest), exactly, by weighted Jaccard similarity. All the
    texts that share a centre form its star.
-5. What a star has left undecided are pairs of its members that are not both
-   linked to the centre. A member's distance from the centre, its weight and its
-   shingles that no other member of the star has bound its similarity to each of
-   them; only pairs that pass the bounds are compared, exactly. No pair of a
-   bucket is lost.
+5. What a star has left undecided are pairs of its members that no links have
+   brought into one class yet. A member's distance from the centre, its weight,
+   and what it added to the centre and shares with other members bound its
+   similarity to each of them; only pairs that pass the bounds are compared,
+   exactly. No pair of a bucket is lost.
 6. Connected components of the links are the classes.
 """
 
