@@ -13,31 +13,37 @@ from pyspark.sql import functions as F
 
 #: Ranges that a whole-table order is cut into, at most.
 RANGES = 256
+#: Rows that a range holds about, where there are fewer than RANGES times as many.
+PER_RANGE = 100_000
 
 
 def _sorted(key: str, descending: bool) -> Column:
     return F.col(key).desc_nulls_last() if descending else F.col(key).asc_nulls_last()
 
 
-def _ranged(df: DataFrame, key: str, descending: bool, ranges: int) -> DataFrame:
+def _ranged(df: DataFrame, key: str, descending: bool, ranges: int | None) -> DataFrame:
     """Adds _range: ranges of the key in its order, equal keys in one; nulls last. The bounds are quantiles, a list of fixed length."""
     kind = dict(df.dtypes)[key]
     if kind in ("string", "boolean", "binary", "date") or kind.startswith(("decimal", "timestamp", "array", "struct")):
         # No quantiles of these: Spark's own range partitioning of the distinct keys gives the ranges.
+        ranges = ranges or max(2, min(RANGES, -(-df.count() // PER_RANGE)))
         keys = df.select(key).distinct().repartitionByRange(ranges, _sorted(key, descending)).select(F.col(key).alias("_key"), F.spark_partition_id().alias("_range"))
         bounds = keys.groupBy("_range").agg(F.min("_key").alias("low"), F.max("_key").alias("high")).filter("low is not null").collect()
         edges = sorted(((r.high if not descending else r.low) for r in bounds), reverse=descending)[:-1]
         tests = [(F.col(key) > F.lit(e)) if not descending else (F.col(key) < F.lit(e)) for e in edges]
         at = sum((F.when(t, 1).otherwise(0) for t in tests), F.lit(0))
     else:
-        found = df.agg(F.percentile_approx(key, F.array(*[F.lit(k / ranges) for k in range(1, ranges)]), F.lit(100 * ranges))).first()[0] or []
+        most = ranges or RANGES
+        found, n = df.agg(F.percentile_approx(key, F.array(*[F.lit(k / most) for k in range(1, most)]), F.lit(100 * most)), F.count("*")).first()
+        use = ranges or max(2, min(RANGES, -(-n // PER_RANGE)))
+        found = [found[-(-k * most // use) - 1] for k in range(1, use)] if found else []
         edges = F.array(*[F.lit(e) for e in sorted(set(found))]).cast(f"array<{kind}>")
         below = F.size(F.filter(edges, lambda e: e < F.col(key)))
         at = -below if descending else below
     return df.withColumn("_range", F.when(F.col(key).isNotNull(), at).otherwise(1 << 30))
 
 
-def _scan(df: DataFrame, key: str, partition: list[str], descending: bool, ties: list[str], ranges: int) -> tuple[DataFrame, list[str], bool]:
+def _scan(df: DataFrame, key: str, partition: list[str], descending: bool, ties: list[str], ranges: int | None) -> tuple[DataFrame, list[str], bool]:
     if partition:
         return df, partition, False
     return _ranged(df, key, descending, ranges), ["_range"], True
@@ -51,7 +57,7 @@ def _ahead(df: DataFrame, measure: Column) -> DataFrame:
     return df.join(F.broadcast(sums), "_range")  # at most RANGES + 1 rows
 
 
-def row_number(df: DataFrame, order: str, partition: list[str] | None = None, ties: list[str] | None = None, descending: bool = False, name: str = "row_number", ranges: int = RANGES) -> DataFrame:
+def row_number(df: DataFrame, order: str, partition: list[str] | None = None, ties: list[str] | None = None, descending: bool = False, name: str = "row_number", ranges: int | None = None) -> DataFrame:
     """Adds the row number by `order`, then `ties`, as a long from 1; nulls last."""
     df, by, whole = _scan(df, order, partition or [], descending, ties or [], ranges)
     w = Window.partitionBy(*by).orderBy(_sorted(order, descending), *(ties or []))
@@ -61,7 +67,7 @@ def row_number(df: DataFrame, order: str, partition: list[str] | None = None, ti
     return out
 
 
-def peer_starts(df: DataFrame, order: str, partition: list[str] | None = None, ties: list[str] | None = None, name: str = "peer_start", ranges: int = RANGES) -> DataFrame:
+def peer_starts(df: DataFrame, order: str, partition: list[str] | None = None, ties: list[str] | None = None, name: str = "peer_start", ranges: int | None = None) -> DataFrame:
     """Adds 1 to the first row of each run of equal keys and 0 to the others; nulls are peers and come last."""
     df, by, _ = _scan(df, order, partition or [], False, ties or [], ranges)
     w = Window.partitionBy(*by).orderBy(_sorted(order, False), *(ties or []))
@@ -69,7 +75,7 @@ def peer_starts(df: DataFrame, order: str, partition: list[str] | None = None, t
     return df.withColumn(name, start.cast("int")).drop("_range")
 
 
-def rank(df: DataFrame, order: str, partition: list[str] | None = None, descending: bool = False, name: str = "rank", ranges: int = RANGES) -> DataFrame:
+def rank(df: DataFrame, order: str, partition: list[str] | None = None, descending: bool = False, name: str = "rank", ranges: int | None = None) -> DataFrame:
     """Adds the rank: the row number of the first peer."""
     df, by, whole = _scan(df, order, partition or [], descending, [], ranges)
     out = df.withColumn(name, F.rank().over(Window.partitionBy(*by).orderBy(_sorted(order, descending))).cast("long"))
@@ -78,7 +84,7 @@ def rank(df: DataFrame, order: str, partition: list[str] | None = None, descendi
     return out
 
 
-def dense_rank(df: DataFrame, order: str, partition: list[str] | None = None, descending: bool = False, name: str = "dense_rank", ranges: int = RANGES) -> DataFrame:
+def dense_rank(df: DataFrame, order: str, partition: list[str] | None = None, descending: bool = False, name: str = "dense_rank", ranges: int | None = None) -> DataFrame:
     """Adds the dense rank: the number of peer groups up to the row's own."""
     df, by, whole = _scan(df, order, partition or [], descending, [], ranges)
     out = df.withColumn(name, F.dense_rank().over(Window.partitionBy(*by).orderBy(_sorted(order, descending))).cast("long"))
@@ -87,7 +93,7 @@ def dense_rank(df: DataFrame, order: str, partition: list[str] | None = None, de
     return out
 
 
-def running_sum(df: DataFrame, value: str, order: str, partition: list[str] | None = None, ties: list[str] | None = None, peers: bool = False, name: str = "running_sum", ranges: int = RANGES) -> DataFrame:
+def running_sum(df: DataFrame, value: str, order: str, partition: list[str] | None = None, ties: list[str] | None = None, peers: bool = False, name: str = "running_sum", ranges: int | None = None) -> DataFrame:
     """Adds the sum up to the row, or up to its last peer with `peers`; null until a first value."""
     df, by, whole = _scan(df, order, partition or [], False, ties or [], ranges)
     w = Window.partitionBy(*by).orderBy(_sorted(order, False), *([] if peers else ties or []))
