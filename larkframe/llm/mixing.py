@@ -8,9 +8,10 @@ the global order by finish time, truncated where the total budget is spent:
 at virtual time 1.
 
 Truncation would leave a source short by what is left of its cut document. The
-documents that follow in finish order and still fit into that remainder are
-admitted (at most `LOOKAHEAD` are looked at), so a source misses its target by
-less than the smallest of them.
+documents of the round that follow in finish order and still fit into that
+remainder are admitted, all of them being looked at, so a source misses its
+target by less than the smallest that was not admitted. The first `LOOKAHEAD`
+are walked one by one; `_fill` does the rest in passes that halve the remainder.
 
 Cumulative sums are two-level: a source is cut into blocks by shuffle key, the
 sums of the blocks are added up, and only a block is ever sorted in one task.
@@ -25,7 +26,7 @@ from larkframe.llm.common import blocks_of, n_words, stage
 
 CYCLE = (5, 2, 1)
 MAX_REPEAT = 3
-#: Documents after the cut that are tried for the remainder of a source.
+#: Documents after the cut that are walked one by one before the passes over the rest.
 LOOKAHEAD = 256
 #: Documents in a block that one task sorts.
 BLOCK = 20_000
@@ -61,6 +62,45 @@ def _shuffle_key(seed: int):
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"), F.col("source")), 1)
 
 
+def _fill(units: DataFrame, state: DataFrame) -> DataFrame:
+    """Admits the units behind `at` that still fit, in queue order; `state` has lane, left and at.
+
+    A pass takes the units of at most half of what is left by a running sum, up
+    to the first unit that brings the remainder to a half or less: the one whose
+    sum does, or the first larger one that fits when its turn comes. That is what
+    walking the queue would take, and a remainder of n words needs log2(n) passes.
+    Returns lane and spans: (at, half, until, last), by which units behind `at` up
+    to `until` are admitted if they are at most `half` or end at `last`.
+    """
+    none = F.array().cast("array<struct<at:bigint,half:double,until:bigint,last:bigint>>")
+    state = stage(state.select("lane", "left", "at", none.alias("spans"), F.lit(True).alias("open")), "mix-fill")
+    half, small = F.col("left") / 2, F.when(F.col("unit") <= F.col("left") / 2, F.col("unit")).otherwise(0)
+    ahead = Window.partitionBy("lane").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("lane", "block").orderBy("end").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    while not state.filter("open").isEmpty():
+        behind = units.join(state.filter("open").select("lane", "left", "at"), "lane").filter((F.col("unit") > 0) & (F.col("end") > F.col("at")) & (F.col("unit") <= F.col("left")))
+        behind = behind.select("lane", "block", "end", "unit", "left", small.alias("small"))
+        sums = behind.groupBy("lane", "block").agg(F.sum("small").alias("sum"))
+        sums = sums.select("lane", "block", F.coalesce(F.sum("sum").over(ahead), F.lit(0)).alias("ahead"))
+        # Blocks that begin behind the half cannot hold the first such unit.
+        near = behind.join(sums, ["lane", "block"]).filter(F.col("ahead") < half)
+        near = near.withColumn("sum", F.col("ahead") + F.sum("small").over(within))
+        stop = F.when(F.col("small") > 0, F.col("sum") >= half).otherwise(F.col("unit") <= F.col("left") - F.col("sum"))
+        taken = F.col("sum") + F.col("unit") - F.col("small")
+        stops = near.groupBy("lane").agg(F.min(F.when(stop, F.struct("end", taken.alias("taken")))).alias("stop"))
+        last = F.col("stop")["end"]
+        span = F.struct("at", half.alias("half"), F.coalesce(last, F.lit((1 << 63) - 1)).alias("until"), F.coalesce(last, F.lit(-1).cast("long")).alias("last"))
+        state = state.join(stops.withColumn("seen", F.lit(True)), "lane", "left").select(
+            "lane",
+            F.coalesce(F.col("left") - F.col("stop")["taken"], F.col("left")).alias("left"),
+            F.coalesce(last, F.col("at")).alias("at"),
+            F.when(F.col("seen"), F.array_append("spans", span)).otherwise(F.col("spans")).alias("spans"),
+            last.isNotNull().alias("open"),
+        )
+        state = stage(state, "mix-fill")
+    return state.select("lane", "spans")
+
+
 def fair_queue(docs: DataFrame, cycle=CYCLE, max_repeat: int = MAX_REPEAT, seed: int = 7) -> DataFrame:
     """Plans the mix: one row for each distinct (doc_id, text, source) of `docs`.
 
@@ -84,7 +124,7 @@ def fair_queue(docs: DataFrame, cycle=CYCLE, max_repeat: int = MAX_REPEAT, seed:
     sums = sums.select("lane", "block", F.coalesce(F.sum("sum").over(ahead), F.lit(0)).alias("ahead"))
     within = Window.partitionBy("lane", "block").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     units = units.withColumn("within", F.sum("unit").over(within)).join(sums, ["lane", "block"])
-    units = units.withColumn("end", F.col("ahead") + F.col("within")).drop("ahead", "within", "block")
+    units = units.withColumn("end", F.col("ahead") + F.col("within")).drop("ahead", "within")
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     units = units.withColumn("full", full).withColumn("rest", F.col("target") - F.col("full") * F.col("source_size"))
     units = stage(units, "mix-queue")
@@ -101,9 +141,13 @@ def fair_queue(docs: DataFrame, cycle=CYCLE, max_repeat: int = MAX_REPEAT, seed:
         F.struct(F.col("left").alias("left"), F.array().cast("array<bigint>").alias("ends")),
         lambda a, x: F.when(x["unit"] <= a["left"], F.struct((a["left"] - x["unit"]).alias("left"), F.concat(a["ends"], F.array(x["end"])).alias("ends"))).otherwise(a),
     )
-    extra = queue.select("lane", F.explode(fits["ends"]).alias("end"), F.lit(1).alias("extra"))
-    units = units.join(extra, ["lane", "end"], "left")
-    copies = F.col("full") + F.when((F.col("end") <= F.col("rest")) | F.col("extra").isNotNull() & (F.col("unit") > 0), 1).otherwise(0)
+    queue = stage(queue.select("lane", fits.alias("fits"), F.element_at("queue", -1)["end"].alias("at")), "mix-walk")
+    extra = queue.select("lane", F.explode("fits.ends").alias("end"), F.lit(1).alias("extra"))
+    spans = _fill(units, queue.select("lane", "fits.left", "at"))
+    units = units.join(extra, ["lane", "end"], "left").join(spans, "lane", "left")
+    filled = F.exists("spans", lambda x: (F.col("end") > x["at"]) & (F.col("end") <= x["until"]) & ((F.col("unit") <= x["half"]) | (F.col("end") == x["last"])))
+    extra = (F.col("extra").isNotNull() | F.coalesce(filled, F.lit(False))) & (F.col("unit") > 0)
+    copies = F.col("full") + F.when((F.col("end") <= F.col("rest")) | extra, 1).otherwise(0)
     return units.select(
         "doc_id", "key", "source", "lane", "size", "n_rows", "source_size", "target",
         F.least(F.when(F.col("size") > 0, copies).otherwise(0), F.lit(max_repeat)).cast("int").alias("copies"),

@@ -87,3 +87,42 @@ def test_one_block_and_many_blocks_agree(make_docs, monkeypatch):
     a = mixing.taken(docs).orderBy("doc_id").collect()
     monkeypatch.setattr(mixing, "BLOCK", 20)
     assert mixing.taken(docs).orderBy("doc_id").collect() == a
+
+
+def walk(rows):
+    """Copies by walking each source's queue: all up to the cut, then whatever still fits."""
+    out = {}
+    for lane in {r.lane for r in rows}:
+        own = sorted((r for r in rows if r.lane == lane and r.size), key=lambda r: r.start)
+        full = int(own[0].target // own[0].source_size) if own else 0
+        left, cut = own[0].target - full * own[0].source_size, False
+        rest = left
+        for r in own:
+            unit = r.size * r.n_rows
+            cut = cut or r.start + unit > rest
+            fits = unit <= left if cut else True
+            left -= unit if fits else 0
+            out[r.doc_id] = full + fits
+    return out
+
+
+def test_a_very_long_document_at_the_cut(spark, make_docs):
+    long = "w " * 20_000
+    keys = make_docs([(k, long, "en", "b") for k in range(10_000, 10_040)]).select("doc_id", mixing._shuffle_key(7).alias("key")).collect()
+    at_cut = next(r.doc_id for r in keys if 0.35 < r.key / 2**63 < 0.6)
+    rows = [(k, "w " * 50, "en", "a") for k in range(1000)] + [(k, "w " * (5 + k % 11), "en", "b") for k in range(1000, 4000)]
+    plan = mixing.fair_queue(make_docs(rows + [(at_cut, long, "en", "b")])).collect()
+    own = [r for r in plan if r.source == "b"]
+    assert next(r.copies for r in own if r.doc_id == at_cut) == 0
+    assert {r.doc_id: r.copies for r in plan if r.size} == walk(plan)
+    assert own[0].target - sum(r.copies * r.size for r in own) < 5
+
+
+@pytest.mark.parametrize("block", [20, 20_000])
+def test_remainders_are_filled_as_by_walking(make_docs, monkeypatch, block):
+    monkeypatch.setattr(mixing, "LOOKAHEAD", 1)
+    monkeypatch.setattr(mixing, "BLOCK", block)
+    sizes = [1 + (k * k * 7919) % 61 ** (1 + k % 3) % 3000 for k in range(900)]
+    docs = make_docs([(k, "w " * n, "en", f"s{k % 5}") for k, n in enumerate(sizes)])
+    plan = mixing.fair_queue(docs).collect()
+    assert {r.doc_id: r.copies for r in plan} == walk(plan)
