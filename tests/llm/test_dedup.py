@@ -78,6 +78,13 @@ def test_planted_copies(make_docs):
     assert any(len(g) > 30 for g in got)
 
 
+def test_a_passage_of_all_texts_counts_less_than_what_is_rare(make_docs):
+    """94 shingles in every text and 10 of a text's own: 94 / (94 + 20 * 1.25) = 0.79 is no link, though idf near 1 would make it one."""
+    passage = " ".join(f"p{k}" for k in range(98))
+    docs = make_docs([(d, passage + "".join(f" d{d}x{k}" for k in range(10))) for d in range(40)])
+    assert all(r.class_id == r.doc_id for r in dedup.classes(docs).collect())
+
+
 def test_odd_rows(odd_docs, no_docs):
     rows = dedup.classes(odd_docs).collect()
     assert len(rows) == odd_docs.count()
