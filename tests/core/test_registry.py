@@ -29,3 +29,14 @@ def test_query(spark, sf, oracle, name):
     columns = [c[0] for c in done.description]
     expect = sorted(repr(tuple(r[columns.index(n)] for n in names)) for r in done.fetchall())
     assert sorted(columns) == names and got == expect
+
+
+def test_dense_groups_reach_the_largest_key(spark):
+    orders = duckdb.sql("SELECT o_custkey, o_totalprice FROM read_parquet('/root/testdata/sf0.01/orders.parquet')").fetchall()
+    expect = {k: [] for k in range(max(k for k, _ in orders) + 1)}
+    for k, price in orders:
+        if price > 400000:
+            expect[k].append(price)
+    got = {r["o_custkey"]: (r["count"], r["min"], r["max"]) for r in QUERIES["kernel_group_agg_dense"](spark, "/root/testdata/sf0.01").collect()}
+    assert len(got) > 150
+    assert got == {k: (len(v), min(v, default=None), max(v, default=None)) for k, v in expect.items()}
