@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,10 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share; one of our own only where none is set and all run on one machine."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if at:
         return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     at = spark.conf.get("spark.larkframe.local.shared", "")
     if not at:
         at = f"file://{tempfile.mkdtemp(prefix='larkframe-')}"
@@ -53,9 +57,33 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
-def arrow_batches(spark: SparkSession, rows: int) -> None:
-    """Bounds the rows of an Arrow batch: texts may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Bytes of text that a slice of a batch holds at most (one text at least), and its rows.
+SLICE_BYTES, SLICE_ROWS = 4 << 20, 512
+
+
+def in_slices(batches: Iterable[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of bounded text, so that what a worker holds does not depend on a session's batch size."""
+    for batch in batches:
+        texts = batch.column(column)
+        wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
+        ends = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        at = 0
+        while at < batch.num_rows:
+            stop = int(np.searchsorted(ends, int(ends[at]) + SLICE_BYTES, "right")) - 1
+            stop = min(max(stop, at + 1), at + SLICE_ROWS, batch.num_rows)
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
+def apart(df: DataFrame, needed: Iterable[str]) -> DataFrame:
+    """The needed columns, and all columns of a row as one struct `whole`: names of the caller's cannot clash then."""
+    columns = df.columns
+    return df.select(*[F.col(f"`{c}`") for c in needed if c in columns], F.struct(*[F.col(f"`{c}`") for c in columns]).alias("whole"))
+
+
+def together(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The caller's rows again, from `whole`."""
+    return df.select(*[F.col("whole").getField(c).alias(c) for c in columns])
 
 
 def n_words(text: Column) -> Column:

@@ -14,11 +14,16 @@
 4. Texts of a band bucket are compared with the bucket's centre (the text whose
    buckets are the largest), exactly, by weighted Jaccard similarity. All the
    texts that share a centre form its star.
-5. What a star has left undecided are pairs of its members that no links have
-   brought into one class yet. A member's distance from the centre, its weight,
-   and what it added to the centre and shares with other members bound its
-   similarity to each of them; only pairs that pass the bounds are compared,
-   exactly. No pair of a bucket is lost.
+5. Links that a star's centre has not shown can only be between texts of different
+   classes, and one of the two is outside its centre's class. Every member is known
+   by its difference from the centre (shingle and change of weight), and two
+   members' distance is what both differ by, less twice what they share of it. What
+   nobody else in the star shares bounds that from a member alone, which leaves out
+   most; the rest meet in tiles of bounded size: matrix products bound all pairs of
+   a tile, exact sums decide those that may be similar, best first, and a pair whose
+   classes the tile has united already is not looked at. A tile only tells links of
+   a spanning forest, so rows grow with texts and not with pairs. No pair of a
+   bucket is lost.
 6. Connected components of the links are the classes.
 """
 
@@ -31,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkframe.llm.common import arrow_batches, stage
+from larkframe.llm.common import apart, in_slices, stage, together
 from larkframe.llm.words import mixed, word_hashes
 
 WORDS = 5
@@ -45,6 +50,10 @@ PARTS, COUNTING = 64, 2048
 SLOTS, IDF_STEPS = 1 << 16, 8
 _MULTIPLY = [np.uint64(k | 1) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _TINY = 1e-9
+#: Members of a star, and changed shingles, that one side of a tile holds about.
+TILE, TILE_CHANGES = 512, 1 << 20
+#: Columns that a tile's matrix products take at a time.
+COLUMNS = 8192
 
 
 def shingles(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,7 +95,7 @@ def idf_steps(texts: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros((2, COUNTERS), np.int64)
         n = s = 0
-        for batch in batches:
+        for batch in in_slices(batches, 0):
             _, hashes, _ = shingles(batch.column(0))
             for row, own in zip(cells, _cells(hashes), strict=True):
                 row += np.bincount(own, minlength=COUNTERS)
@@ -196,7 +205,7 @@ def signed(texts: DataFrame, shared) -> DataFrame:
     """doc, bands of each text that has words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches, 1):
             text, hashes, tf = shingles(batch.column(1))
             rows, own = bands(text, hashes, tf, rareness(hashes, shared.value))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, own.size + 1, BANDS), pa.int32()), pa.array(own.ravel()))
@@ -205,32 +214,39 @@ def signed(texts: DataFrame, shared) -> DataFrame:
     return texts.select("doc", "text").mapInArrow(run, "doc long, bands array<long>")
 
 
-def _compared(pairs: DataFrame, shared, added: bool) -> DataFrame:
-    """Similarity of (a, ta), (b, tb); with `added`, also the weights of both and the shingles of b that a has not."""
+_COMPARED = "a long, b long, similar double, a_weight double, weight double, keys array<long>, changes array<double>"
+
+
+def changed(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys (a shingle and whether its weight grew) and how much the weights of b differ from those of a."""
+    keys = np.union1d(a[0], b[0])
+    change = np.zeros(len(keys))
+    change[np.searchsorted(keys, b[0])] = b[1]
+    change[np.searchsorted(keys, a[0])] -= a[1]
+    own = np.flatnonzero(np.abs(change) > _TINY)
+    return (keys[own].astype(np.int64) << 1) | (change[own] > 0), np.abs(change[own])
+
+
+def _compared(pairs: DataFrame, shared) -> DataFrame:
+    """Similarity of (a, ta), (b, tb), the weights of both and what b changes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple = (None, None)
-        for batch in batches:
-            others = _vectors(batch.column(3), shared.value)
-            sims, own, more, weigh = [], [], [], []
-            for a, ta, vb in zip(batch.column(0).to_pylist(), batch.column(1), others, strict=True):
+        for batch in in_slices(batches, 3):
+            sims, own, keys, changes = [], [], [], []
+            for a, ta, vb in zip(batch.column(0).to_pylist(), batch.column(1), _vectors(batch.column(3), shared.value), strict=True):
                 if held[0] != a:  # rows of one a follow each other
                     held = (a, _vectors(pa.array([ta.as_py()], pa.string()), shared.value)[0])
                 sims.append(similarity(held[1], vb))
-                if added:
-                    own.append((float(held[1][1].sum()), float(vb[1].sum())))
-                    new = ~np.isin(vb[0], held[1][0], assume_unique=True)
-                    more.append(vb[0][new].astype(np.int64))
-                    weigh.append(vb[1][new])
-            columns = [batch.column(0), batch.column(2), pa.array(sims, pa.float64())]
-            names = ["a", "b", "similar"]
-            if added:
-                columns += [pa.array([x for x, _ in own], pa.float64()), pa.array([x for _, x in own], pa.float64()), pa.array(more, pa.list_(pa.int64())), pa.array(weigh, pa.list_(pa.float64()))]
-                names += ["a_weight", "weight", "new", "new_weight"]
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    kind = "a long, b long, similar double" + (", a_weight double, weight double, new array<long>, new_weight array<double>" if added else "")
-    return pairs.select("a", "ta", "b", "tb").mapInArrow(run, kind)
+                own.append((float(held[1][1].sum()), float(vb[1].sum())))
+                for column, x in zip((keys, changes), changed(held[1], vb), strict=True):
+                    column.append(x)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(sims, pa.float64()), pa.array([x for x, _ in own], pa.float64()), pa.array([x for _, x in own], pa.float64()), pa.array(keys, pa.list_(pa.int64())), pa.array(changes, pa.list_(pa.float64()))],
+                ["a", "b", "similar", "a_weight", "weight", "keys", "changes"],
+            )
+
+    return pairs.select("a", "ta", "b", "tb").mapInArrow(run, _COMPARED)
 
 
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -249,50 +265,112 @@ def stars(rows: DataFrame) -> DataFrame:
     return rows.join(heads, ["band", "h"]).select("a", F.col("doc").alias("b")).filter("a != b").distinct()
 
 
+class _Sets:
+    """Classes that grow together."""
+
+    def __init__(self):
+        self.up: dict = {}
+
+    def of(self, x):
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def joined(self, x, y) -> bool:
+        """Unites two classes; False if they were one."""
+        x, y = self.of(x), self.of(y)
+        self.up[x] = y
+        return x != y
+
+
+def tile_links(x: dict, y: dict, similar: float) -> list[tuple[int, int]]:
+    """Links (row of x, row of y) between texts of different classes: a spanning forest of all that are `similar`.
+
+    x, y: weight, d (distance from the centre), class (lists), keys and changes (per row, sorted by key).
+    """
+    k = (1 - similar) / (1 + similar)
+    columns = np.intersect1d(*[np.concatenate(s["keys"]) for s in (x, y)])
+    bound = np.zeros((len(x["d"]), len(y["d"])), np.float32)
+    for at in range(0, len(columns), COLUMNS):
+        part = columns[at : at + COLUMNS]
+        dense = []
+        for s in (x, y):
+            m = np.zeros((len(s["d"]), len(part)), np.float32)
+            for r, (own, change) in enumerate(zip(s["keys"], s["changes"], strict=True)):
+                lo, hi = np.searchsorted(own, [part[0], part[-1] + 1])
+                where = np.searchsorted(part, own[lo:hi])
+                hit = part[where] == own[lo:hi]
+                m[r, where[hit]] = np.sqrt(change[lo:hi][hit])  # min(u, v) <= sqrt(u) sqrt(v)
+            dense.append(m)
+        bound += dense[0] @ dense[1].T
+    far = [np.asarray(s["d"]) - k * np.asarray(s["weight"]) for s in (x, y)]
+    # The distance d(x) + d(y) - 2 shared is at most k (|x| + |y|) for similar texts.
+    slack = 2 * bound * (1 + 1e-4) - far[0][:, None] - far[1][None, :]
+    names = {c: i for i, c in enumerate(sorted({*x["class"], *y["class"]}))}
+    cx, cy = (np.array([names[c] for c in s["class"]]) for s in (x, y))
+    rows, cols = np.nonzero((slack >= -1e-6) & (cx[:, None] != cy[None, :]))
+    best = np.argsort(-slack[rows, cols], kind="stable")
+    sets, found = _Sets(), []
+    for r, c in zip(rows[best].tolist(), cols[best].tolist(), strict=True):
+        if sets.of(int(cx[r])) == sets.of(int(cy[c])):
+            continue
+        _, i, j = np.intersect1d(x["keys"][r], y["keys"][c], assume_unique=True, return_indices=True)
+        apart_ = x["d"][r] + y["d"][c] - 2 * np.minimum(x["changes"][r][i], y["changes"][c][j]).sum()
+        both = x["weight"][r] + y["weight"][c]
+        if both - apart_ >= similar * (both + apart_) - _TINY * both:
+            sets.joined(int(cx[r]), int(cy[c]))
+            found.append((r, c))
+    return found
+
+
+def _tile(t: pa.Table, similar: float) -> pa.Table:
+    keep = t.column("side").to_numpy()
+    sides = []
+    for side in (0, 1):
+        own = t.filter(pa.array(keep == side))
+        lists = [[v.values.to_numpy() for v in own.column(c)] for c in ("keys", "changes")]
+        sides.append({"b": own.column("b").to_pylist(), "d": own.column("d").to_pylist(), "weight": own.column("weight").to_pylist(), "class": own.column("class").to_pylist(), "keys": lists[0], "changes": lists[1]})
+    x, y = sides
+    links = tile_links(x, y, similar) if x["b"] and y["b"] else []
+    return pa.table([pa.array([x["b"][r] for r, _ in links], pa.int64()), pa.array([y["b"][c] for _, c in links], pa.int64())], ["a", "b"])
+
+
 def undecided(members: DataFrame, classes_: DataFrame, similar: float) -> DataFrame:
-    """(a, b), a < b: pairs of members of a star that may be similar and are not known to be of one class."""
-    members = members.withColumn("linked", F.col("similar") >= similar - _TINY)
-    open_ = members.groupBy("a").agg(F.count("*").alias("n"), F.min("linked").alias("all")).filter("n > 1 and not all").select("a")
-    members = stage(members.join(open_, "a"), "dedup-open")
-    own = members.select("a", "b", F.explode(F.arrays_zip("new", "new_weight")).alias("x"))
-    own = own.select("a", "b", F.col("x.new").alias("new"), F.col("x.new_weight").alias("w"))
-    counts = own.groupBy("a", "new").agg(F.min("b").alias("b"), F.count("*").alias("n"), F.min("w").alias("w"))
-    alone = counts.filter("n = 1").groupBy("a", "b").agg(F.sum("w").alias("alone"))
-    kept = members.select("a", "b", "linked", "similar", "a_weight", "weight", F.aggregate("new_weight", F.lit(0.0), lambda x, y: x + y).alias("added"), F.coalesce(F.array_max("new_weight"), F.lit(0.0)).alias("top"))
-    kept = kept.join(alone, ["a", "b"], "left").withColumn("alone", F.coalesce("alone", F.lit(0.0)))
-    kept = kept.join(classes_.select(F.col("doc").alias("b"), "class"), "b", "left").withColumn("class", F.coalesce("class", "b"))
-    # Two texts are similar if their distance, the sum of |x - y|, is at most k (|x| + |y|). Let d be a member's distance from
-    # the centre. What is alone in x or in y adds to their distance, and so does the difference of what is left of their d:
-    # distance >= d(x) - d(y) + 2 alone(y), and the same the other way round. So near(y) >= far(x) and near(x) >= far(y).
+    """(members that may be similar to others of their star that are not of their class, tiles of each star)."""
+    named = lambda v: classes_.select(F.col("doc").alias(v), F.col("class").alias(f"c{v}"))
+    slim = members.select("a", "b").join(named("b"), "b", "left").join(named("a"), "a", "left")
+    slim = slim.select("a", "b", F.coalesce("cb", "b").alias("class"), (F.coalesce("cb", "b") != F.coalesce("ca", "a")).alias("open"))
+    stars_ = slim.groupBy("a").agg(F.count("*").alias("n"), F.max("open").alias("any")).filter("n > 1 and any").select("a")
+    slim = slim.join(stars_, "a")
+    members = stage(members.join(slim, ["a", "b"]), "dedup-open")
+    own = members.select("a", "b", F.explode(F.arrays_zip("keys", "changes")).alias("x")).select("a", "b", F.col("x.keys").alias("key"), F.col("x.changes").alias("change"))
+    alone = own.groupBy("a", "key").agg(F.min("b").alias("b"), F.count("*").alias("n"), F.min("change").alias("change")).filter("n = 1").groupBy("a", "b").agg(F.sum("change").alias("alone"))
+    kept = members.join(alone, ["a", "b"], "left").withColumn("alone", F.coalesce("alone", F.lit(0.0)))
+    # Similar texts are at most k (|x| + |y|) apart. What is alone in x is not in y, and x is d(x) from the centre, so
+    # their distance is at least d(y) - d(x) + 2 alone(x), and the same the other way round: near(x) >= far(y) and near(y) >= far(x).
     k = (1 - similar) / (1 + similar)
-    d = (F.col("weight") + F.col("a_weight")) * (1 - F.col("similar")) / (1 + F.col("similar"))
-    kept = kept.withColumn("near", d - 2 * F.col("alone") + k * F.col("weight")).withColumn("far", d - k * F.col("weight"))
-    # far(x) > k |centre| for each x that is not linked, which any partner must come near.
-    kept = kept.filter(~F.col("linked") | (F.col("near") >= k * F.col("a_weight") - _TINY))
-    # What x shares with others bounds a partner's weight, by |x and y| >= s / (1 + s) (|x| + |y|).
-    most = (F.col("weight") - F.col("alone")) * ((1 + similar) / similar) - F.col("weight")
-    kept = kept.withColumn("low", F.col("weight") * similar).withColumn("high", F.least(most, F.col("weight") / similar))
-    kept = stage(kept.filter(F.col("high") >= F.col("low") - _TINY).withColumn("removed", d - F.col("added")).drop("similar", "a_weight", "alone"), "dedup-kept")
-    # The shingles that a member added and shares with other members of its star.
-    several = own.join(kept.select("a", "b"), ["a", "b"]).join(counts.filter("n > 1").select("a", "new"), ["a", "new"])
-    several = several.groupBy("a", "b").agg(F.collect_list("new").alias("several"))
-    kept = stage(kept.join(several, ["a", "b"], "left").withColumn("several", F.coalesce("several", F.array().cast("array<bigint>"))), "dedup-kept")
-    step = F.lit(float(np.log(1 / similar)))
-
-    def side(v: str, df: DataFrame) -> DataFrame:
-        return df.select("a", F.col("b").alias(v), *[F.col(c).alias(v + c) for c in ("linked", "weight", "low", "high", "near", "far", "class", "added", "removed", "top", "several")])
-
-    cell = lambda c: F.floor(F.log(c) / step)
-    x = side("x", kept.filter("not linked")).withColumn("cell", F.explode(F.sequence(cell(F.col("xlow") - _TINY), cell(F.greatest("xhigh", "xlow") + _TINY))))
-    y = side("y", kept).withColumn("cell", cell(F.col("yweight")))
-    rest = x.join(y, ["a", "cell"]).filter((F.col("xclass") != F.col("yclass")) & (F.col("ylinked") | (F.col("x") < F.col("y"))))
-    rest = rest.filter((F.col("ynear") >= F.col("xfar") - _TINY) & (F.col("xnear") >= F.col("yfar") - _TINY))
-    rest = rest.filter(F.col("yweight").between(F.col("xlow") - _TINY, F.col("xhigh") + _TINY) & F.col("xweight").between(F.col("ylow") - _TINY, F.col("yhigh") + _TINY))
-    # Their distance is at least what both added and do not share, and the difference of what they lack of the centre.
-    common = F.size(F.array_intersect("xseveral", "yseveral")) * F.least("xtop", "ytop")
-    apart = F.col("xadded") + F.col("yadded") - 2 * common + F.abs(F.col("xremoved") - F.col("yremoved"))
-    rest = rest.filter(apart <= k * (F.col("xweight") + F.col("yweight")) + _TINY)
-    return rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    kept = kept.withColumn("d", (F.col("weight") + F.col("a_weight")) * (1 - F.col("similar")) / (1 + F.col("similar")))
+    kept = kept.withColumn("near", F.col("d") - 2 * F.col("alone") + k * F.col("weight")).withColumn("far", F.col("d") - k * F.col("weight"))
+    # far(x) > k |centre| for an open x, which any partner must come near; and an open x itself must come near the least far.
+    least = kept.groupBy("a").agg(F.min("far").alias("least"))
+    kept = kept.join(least, "a").filter((F.col("near") >= F.col("least") - _TINY) & (F.col("open") | (F.col("near") >= k * F.col("a_weight") - _TINY)))
+    return stage(kept.select("a", "b", "class", "open", "d", "weight", "keys", "changes"), "dedup-kept")
+
+
+def between(kept: DataFrame, similar: float) -> DataFrame:
+    """(a, b): links between texts of different classes, by tiles of open members and all members of a star."""
+    tiles = lambda n, s: F.ceil(F.greatest(F.col(n) / float(TILE), F.col(s) / float(TILE_CHANGES))).cast("int")
+    size = F.size("keys").cast("long")
+    sums = kept.groupBy("a").agg(F.count("*").alias("n"), F.sum(size).alias("s"), F.count_if("open").alias("on"), F.sum(F.when(F.col("open"), size).otherwise(0)).alias("os"))
+    sums = sums.filter("on > 0 and n > 1").select("a", tiles("on", "os").alias("across"), tiles("n", "s").alias("down"))
+    dealt = kept.join(sums, "a")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.greatest(F.col(n), F.lit(1)) - 1))
+    own = lambda n: F.pmod(F.xxhash64("b"), F.greatest(F.col(n), F.lit(1))).cast("int")
+    body = ["a", "b", "class", "d", "weight", "keys", "changes"]
+    x = dealt.filter("open").select(*body, F.lit(0).alias("side"), own("across").alias("i"), all_of("down").alias("j"))
+    y = dealt.select(*body, F.lit(1).alias("side"), all_of("across").alias("i"), own("down").alias("j"))
+    return x.unionByName(y).groupBy("a", "i", "j").applyInArrow(lambda t: _tile(t, similar), "a long, b long")
 
 
 def text_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -301,17 +379,15 @@ def text_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     docs: doc_id, doc (hash of the text), text, one row at least per text.
     """
     spark = docs.sparkSession
-    arrow_batches(spark, 200)
     shared = spark.sparkContext.broadcast(idf_steps(docs))  # 2 x COUNTERS bytes
     rows = stage(signed(docs, shared).select("doc", F.posexplode("bands").alias("band", "h")).distinct(), "dedup-bands")
     near = stage(stars(rows), "dedup-stars")
     needed = near.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
     one = docs.groupBy("doc").agg(F.min("doc_id").alias("doc_id")).join(needed, "doc", "left_semi")
     texts = stage(docs.join(one.select(F.col("doc").alias("_d"), F.col("doc_id").alias("_i")), (F.col("doc") == F.col("_d")) & (F.col("doc_id") == F.col("_i")), "left_semi").select("doc", "text").dropDuplicates(["doc"]), "dedup-texts")
-    members = stage(_compared(_with_texts(near, texts), shared, True), "dedup-compared")
+    members = stage(_compared(_with_texts(near, texts), shared), "dedup-compared")
     first = stage(components(members.filter(F.col("similar") >= similar - _TINY).select("a", "b")), "dedup-first")
-    rest = stage(undecided(members, first, similar), "dedup-rest")
-    more = stage(_compared(_with_texts(rest, texts), shared, False).filter(F.col("similar") >= similar - _TINY), "dedup-more")
+    more = stage(between(undecided(members, first, similar), similar).distinct(), "dedup-more")
     if more.isEmpty():
         return first
     # Classes that the further links join.
@@ -366,7 +442,9 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
     Texts without words are similar only to equal texts; rows with a null text
     or a null doc_id are classes of their own (class_id = doc_id, n_copies 1).
-    Repeated rows stay and share a class. No rows give no rows.
+    Texts are compared whole, however long. Repeated rows stay and share a class,
+    ties of doc_id share the smallest. Other columns, whatever their names, take
+    no part. No rows give no rows.
     """
     rows, texts = _text_classes(docs, similar)
     odd = rows.filter("odd").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("n_copies"))
@@ -374,9 +452,14 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
 
 def kept(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """One row of each class with all columns: the smallest doc_id's. Rows with a null text or doc_id stay."""
+    """One row of each class with all columns, whatever their names: the smallest doc_id's.
+
+    Rows with a null text or doc_id stay; of repeated rows one stays. Texts are
+    compared whole, however long; empty ones are similar only to each other. Ties
+    go to the smaller hash of the text. No rows give no rows.
+    """
     _, texts = _text_classes(docs, similar)
-    stay = stage(texts.filter("kept").select(F.col("doc").alias("_doc"), F.col("class_id").alias("_id")), "dedup-stay")
-    own = docs.withColumn("_h", F.xxhash64("text"))
-    one = own.filter("text is not null and doc_id is not null").join(stay, (F.col("_h") == F.col("_doc")) & (F.col("doc_id") == F.col("_id")), "left_semi").dropDuplicates(["_h", "doc_id"])
-    return one.unionByName(own.filter("text is null or doc_id is null")).drop("_h")
+    stay = stage(texts.filter("kept").select("doc", F.col("class_id").alias("id")), "dedup-stay")
+    own = apart(docs, ["doc_id", "text"]).withColumn("h", F.xxhash64("text"))
+    one = own.filter("text is not null and doc_id is not null").join(stay, (F.col("h") == F.col("doc")) & (F.col("doc_id") == F.col("id")), "left_semi").dropDuplicates(["h", "doc_id"])
+    return together(one.unionByName(own.filter("text is null or doc_id is null")), docs.columns)

@@ -3,8 +3,10 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from larkframe.llm import dedup, registry
+from larkframe.llm.common import stage
 
 
 def groups(rows):
@@ -78,6 +80,79 @@ def test_planted_copies(make_docs):
     assert any(len(g) > 30 for g in got)
 
 
+def family(n, seed=11):
+    """Near copies of one text, edited at few up to many places: some are similar to the text, some only to others, most of the rest to none."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    base = [word() for _ in range(120)]
+    texts = [" ".join(base)]
+    while len(texts) < n:
+        words = (texts[rng.randrange(len(texts))].split() if rng.random() < 0.2 else list(base))
+        for _ in range(rng.choice([1, 1, 2, 3, 4, 6, 9])):
+            k = rng.randrange(len(words))
+            if rng.random() < 0.3:
+                del words[k]
+            else:
+                words[k] = rng.choice(base) if rng.random() < 0.5 else word()
+        texts.append(" ".join(words))
+    return texts
+
+
+@pytest.mark.parametrize("tile", [16, 512])
+def test_a_large_family_of_near_copies(make_docs, monkeypatch, tile):
+    """Links outside the stars' classes are all found, whatever the tiles."""
+    monkeypatch.setattr(dedup, "TILE", tile)
+    texts = family(160)
+    docs = make_docs(list(enumerate(texts)))
+    expect = brute(list(enumerate(texts)), steps_of(docs))
+    assert groups(dedup.classes(docs).collect()) == expect
+    assert max(map(len, expect)) > 60 and sum(len(g) == 1 for g in expect) > 20
+
+
+def test_rows_grow_with_a_family_and_not_with_its_pairs(make_docs):
+    """The family at three sizes: links told and texts compared a member stay about the same."""
+    told = []
+    for n in (150, 300, 600):
+        docs = make_docs(list(enumerate(family(n)))).selectExpr("doc_id", "xxhash64(text) as doc", "text")
+        spark = docs.sparkSession
+        shared = spark.sparkContext.broadcast(dedup.idf_steps(docs))
+        rows = stage(dedup.signed(docs, shared).select("doc", F.posexplode("bands").alias("band", "h")).distinct(), "t")
+        near = stage(dedup.stars(rows), "t")
+        members = stage(dedup._compared(dedup._with_texts(near, docs), shared), "t")
+        first = stage(dedup.components(members.filter("similar >= 0.8").select("a", "b")), "t")
+        links = dedup.between(dedup.undecided(members, first, 0.8), 0.8)
+        told.append((near.count() / n, links.count() / n))
+    assert all(x < 9 and y < 1 for x, y in told)
+    assert told[2][0] < 1.5 * told[0][0] and told[2][1] < 2 * told[0][1] + 0.2
+
+
+def test_tile_links_are_a_spanning_forest():
+    rng = np.random.default_rng(6)
+    centre = (np.arange(40, dtype=np.uint64), np.ones(40))
+
+    def side(n):
+        out = {"weight": [], "d": [], "class": [], "keys": [], "changes": [], "own": []}
+        for _ in range(n):
+            keys = np.union1d(rng.choice(40, rng.integers(20, 40), replace=False), rng.choice(np.arange(40, 60), rng.integers(0, 8), replace=False)).astype(np.uint64)
+            own = (keys, rng.integers(1, 3, len(keys)).astype(float))
+            k, c = dedup.changed(centre, own)
+            for name, x in (("weight", own[1].sum()), ("d", c.sum()), ("class", int(rng.integers(0, 30))), ("keys", k), ("changes", c), ("own", own)):
+                out[name].append(x)
+        return out
+
+    for _ in range(20):
+        x, y = side(12), side(25)
+        links = dedup.tile_links(x, y, 0.5)
+        sets, whole = dedup._Sets(), dedup._Sets()
+        for i, a in enumerate(x["own"]):
+            for j, b in enumerate(y["own"]):
+                if dedup.similarity(a, b) >= 0.5:
+                    whole.joined(x["class"][i], y["class"][j])
+        assert all(dedup.similarity(x["own"][i], y["own"][j]) >= 0.5 for i, j in links)
+        assert all(sets.joined(x["class"][i], y["class"][j]) for i, j in links)
+        assert all((sets.of(a) == sets.of(b)) == (whole.of(a) == whole.of(b)) for a in range(30) for b in range(30))
+
+
 def test_a_passage_of_all_texts_counts_less_than_what_is_rare(make_docs):
     """94 shingles in every text and 10 of a text's own: 94 / (94 + 20 * 1.25) = 0.79 is no link, though idf near 1 would make it one."""
     passage = " ".join(f"p{k}" for k in range(98))
