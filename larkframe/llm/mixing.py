@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkframe.llm.common import blocks_of, n_words, stage
+from larkframe.llm.common import apart, blocks_of, n_words, stage, together
 
 CYCLE = (5, 2, 1)
 MAX_REPEAT = 3
@@ -161,26 +161,35 @@ def finish_time(copy):
     return F.when(F.col("target") > 0, F.least(end / F.col("target"), F.lit(1.0))).otherwise(1.0)
 
 
-def by_finish(df: DataFrame, finish: str, tie: str) -> DataFrame:
+def by_finish(df: DataFrame, finish: str, tie: list[str]) -> DataFrame:
     """Global order by finish time: ranges of virtual time hold equal words, so no sample is needed to cut them. Rows without one come last in their task, spread by hash."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part = F.coalesce(F.least(F.floor(F.col(finish) * n), F.lit(n - 1)), F.pmod(F.xxhash64(tie), F.lit(n))).cast("int")
-    return df.repartitionById(n, part).sortWithinPartitions(F.col(finish).asc_nulls_last(), tie)
+    ranges = F.least(F.floor(F.col(finish) * n), F.lit(n - 1))  # least() leaves nulls out, so a null has a branch of its own
+    part = F.when(F.col(finish).isNull(), F.pmod(F.xxhash64(*tie), F.lit(n))).otherwise(ranges).cast("int")
+    return df.repartitionById(n, part).sortWithinPartitions(F.col(finish).asc_nulls_last(), *tie)
 
 
 def mix(docs: DataFrame, cycle=CYCLE, max_repeat: int = MAX_REPEAT, seed: int = 7) -> DataFrame:
-    """The mixed documents with all their columns, a row per copy, in order of virtual finish time."""
+    """The mixed documents with all their columns, whatever their names, a row per copy, in order of virtual finish time.
+
+    Null and empty texts have no words and are left out; repeated rows are one unit
+    and stay together; texts count whole, however long. Ties of finish time go by
+    doc_id. No rows give no rows.
+    """
     plan = fair_queue(docs, cycle, max_repeat, seed).filter("copies > 0")
-    plan = plan.select("doc_id", "key", "source", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda c: finish_time(c))).alias("copy", "finish"))
-    plan = plan.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), F.col("finish").alias("_finish"))
-    whole = docs.withColumn("_k", _shuffle_key(seed))
-    mixed = whole.join(plan, whole["doc_id"].eqNullSafe(plan["_doc"]) & (whole["_k"] == plan["_key"]))
-    return by_finish(mixed, "_finish", "_doc").select(*[docs[c] for c in docs.columns])
+    plan = plan.select(F.col("doc_id").alias("planned"), F.col("key").alias("at"), F.explode(F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda c: finish_time(c))).alias("finish"))
+    rows = apart(docs, ["doc_id", "text", "source"]).select("doc_id", "whole", _shuffle_key(seed).alias("key"))
+    mixed = rows.join(plan, rows["doc_id"].eqNullSafe(plan["planned"]) & (rows["key"] == plan["at"])).select("doc_id", "key", "finish", "whole")
+    return together(by_finish(mixed, "finish", ["doc_id", "key"]), docs.columns)
 
 
 def taken(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """What the mix takes of each row of `docs`: doc_id, size, source_size, target, taken, copies, finish (of the first copy; null if none is taken)."""
+    """What the mix takes of each row of `docs`: doc_id, size, source_size, target, taken, copies, finish (of the first copy; null if none is taken).
+
+    One row per row, repeated ones too; null and empty texts have size 0 and are
+    not taken. Other columns, whatever their names, take no part. No rows give no rows.
+    """
     plan = fair_queue(docs, seed=seed).withColumn("finish", F.when(F.col("copies") > 0, finish_time(F.lit(0))))
-    rows = plan.select("*", F.explode(F.sequence(F.lit(1), F.col("n_rows"))).alias("_row"))
-    rows = by_finish(rows, "finish", "doc_id")
+    rows = plan.select("*", F.explode(F.sequence(F.lit(1), F.col("n_rows"))).alias("row"))
+    rows = by_finish(rows, "finish", ["doc_id", "key", "row"])
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "finish", "source")

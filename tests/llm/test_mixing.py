@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from larkframe.llm import mixing, registry
 
@@ -126,3 +127,19 @@ def test_remainders_are_filled_as_by_walking(make_docs, monkeypatch, block):
     docs = make_docs([(k, "w " * n, "en", f"s{k % 5}") for k, n in enumerate(sizes)])
     plan = mixing.fair_queue(docs).collect()
     assert {r.doc_id: r.copies for r in plan} == walk(plan)
+
+
+def test_whole_table_takes_what_walking_the_queues_takes(spark, sf):
+    plan = mixing.fair_queue(spark.read.parquet(f"{sf}/documents.parquet")).collect()
+    assert {r.doc_id: r.copies for r in plan if r.size} == walk(plan)
+
+
+def test_rows_that_are_left_out_are_spread(make_docs):
+    docs = make_docs([(k, "w " * 9, "en", "a" if k < 600 else "b") for k in range(2000)])
+    plan = mixing.fair_queue(docs).withColumn("finish", F.when(F.col("copies") > 0, mixing.finish_time(F.lit(0))))
+    parts = mixing.by_finish(plan, "finish", ["doc_id", "key"]).select("finish", F.spark_partition_id().alias("p")).collect()
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = [r.p for r in parts if r.finish is None]
+    assert len(out) > 500 and max(out.count(p) for p in range(n)) < 2 * len(out) / n
+    ranges = sorted((r.p, r.finish) for r in parts if r.finish is not None)
+    assert [f for _, f in ranges] == sorted(f for _, f in ranges)
