@@ -25,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from larkframe.llm.common import arrow_batches, stage
+from larkframe.llm.common import apart, in_slices, stage, together
 
 UNKNOWN = "und"
 #: Labelled documents per language that the model is fitted on; they are read whole.
@@ -170,24 +171,25 @@ def held_out(k: int = 5, rest: int = 0) -> Column:
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
     """The model of (doc_id, text, lang) rows; None where there is no labelled text."""
-    rows = labelled.filter("lang is not null and text is not null").select("doc_id", "lang", "text")
+    rows = labelled.filter("lang is not null and text is not null").select("doc_id", "lang", "text", F.xxhash64("doc_id", "text").alias("h"))
     # A document's place in [0, 1) is its hash; of each language about twice the sample come near 0, and of these the first.
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    ids = rows.select("doc_id", "lang", place.alias("place"))
-    many = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    ids = ids.join(many, "lang").filter(F.col("place") < F.lit(2.0 * sample) / F.col("n"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
-    chosen = ids.withColumn("rank", rank).filter(F.col("rank") <= sample).select(F.col("doc_id").alias("d"), F.col("lang").alias("l")).distinct()
-    chosen = stage(chosen, "langid-sample")
+    place = F.pmod(F.xxhash64("h"), F.lit(1 << 40)) / float(1 << 40)
+    many = stage(rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).select(F.col("lang").alias("l"), "n"), "langid-langs")
+    small = lambda df, n: F.broadcast(df) if df.count() <= n else df
+    # The filter comes before any shuffle: a language that holds most rows is cut down where its rows are read.
+    ids = rows.select("lang", "h", place.alias("place")).join(small(many, BROADCAST), F.col("lang") == F.col("l")).filter(F.col("place") < F.lit(2.0 * sample) / F.col("n"))
+    ids = ids.groupBy("lang", "h").agg(F.min("place").alias("place"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "h"))
+    chosen = stage(ids.withColumn("rank", rank).filter(F.col("rank") <= sample).select(F.col("lang").alias("l"), F.col("h").alias("k")), "langid-sample")
     # At most `sample` rows a language; sent to all tasks where that is known to be little, so that no text is shuffled.
-    small = F.broadcast(chosen) if chosen.count() <= BROADCAST else chosen
-    rows = rows.join(small, (rows["doc_id"] == chosen["d"]) & (rows["lang"] == chosen["l"]), "left_semi").select("lang", "text")
+    # A repeated row counts once.
+    rows = rows.join(small(chosen, BROADCAST), (F.col("h") == F.col("k")) & (F.col("lang") == F.col("l")), "left_semi").dropDuplicates(["lang", "h"]).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams: dict[str, np.ndarray] = {}
         scripts: dict[str, np.ndarray] = {}
         docs: dict[str, int] = {}
-        for batch in batches:
+        for batch in in_slices(batches, 1):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 _, n, script, own = letters_of(text.as_py())
                 grams[lang] = grams.get(lang, 0) + np.bincount(own, minlength=BUCKETS)
@@ -217,31 +219,30 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
 def identify(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
     """`keep` columns of every document with lang_pred and score; `und` and 0 for texts that are null or have no letter.
 
-    Without a model (nothing to learn from) all is `und`.
+    The columns kept must not be named text, lang_pred or score. Without a model
+    (nothing to learn from) all is `und`.
     """
     if model is None:
         return docs.select(*keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    arrow_batches(docs.sparkSession, 500)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages floats
-    # The text goes along once, also where it is kept.
-    rows = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
-    at, n = rows.columns.index("text"), len(keep)
+    rows, n = docs.select(*keep, "text"), len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
-            got = [own.predict(t.as_py()) for t in batch.column(at)]
+        for batch in in_slices(batches, n):
+            got = [own.predict(t.as_py()) for t in batch.column(n)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*keep, "lang_pred", "score"])
 
-    types = dict(docs.dtypes)
-    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in keep), "lang_pred string", "score double"]))
+    return rows.mapInArrow(run, StructType([*(docs.schema[c] for c in keep), StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
 def predicted(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of documents; learned from rows that are not held out.
 
     Null, empty and letterless texts are `und` with score 0; repeated rows are
-    judged alike. No rows give no rows.
+    judged alike; texts are judged whole, however long; ties go to the language
+    that sorts first. Other columns, whatever their names, take no part. No rows
+    give no rows.
     """
     flagged = docs.select("doc_id", "text", "lang", held_out().alias("held_out"))
     model = fit(flagged.filter("not held_out"))
@@ -249,11 +250,12 @@ def predicted(docs: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """The documents, with their columns, that have a language with a score of `least`; `und` goes.
+    """The documents, with all their columns, whatever their names, that have a language with a score of `least`; `und` goes.
 
-    Learned from the labelled ones among them.
+    Learned from the labelled ones among them. Null, empty and letterless texts
+    are `und`; texts are judged whole, however long; repeated rows are judged alike.
+    No rows give no rows.
     """
     model = fit(docs.select("doc_id", "text", "lang"))
-    plain = docs.withColumnsRenamed({c: f"_{c}" for c in ("lang_pred", "score") if c in docs.columns})
-    judged = identify(plain, model, plain.columns)
-    return judged.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).drop("lang_pred", "score").toDF(*docs.columns)
+    judged = identify(apart(docs, ["text"]), model, ["whole"])
+    return together(judged.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)), docs.columns)

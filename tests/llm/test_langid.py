@@ -1,4 +1,6 @@
+import math
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -105,3 +107,93 @@ def test_words_are_runs_of_letters():
     assert n.tolist() == [len(w) for w in words] and len(grams) == sum(len(w) + 1 for w in words)
     alone = langid.letters_of("c")[3].tolist()
     assert grams[first[1] : first[1] + 2].tolist() == alone
+
+
+class Slow:
+    """The whole operator by plain loops over words and their trigrams."""
+
+    def __init__(self, labelled):
+        self.langs = sorted({lang for _, lang in labelled})
+        self.grams = {x: {} for x in self.langs}
+        scripts, docs = {x: {} for x in self.langs}, dict.fromkeys(self.langs, 0)
+        for text, lang in labelled:
+            docs[lang] += 1
+            for word in self.words(text):
+                scripts[lang][self.script(word)] = scripts[lang].get(self.script(word), 0) + len(word)
+                for g in self.trigrams(word):
+                    self.grams[lang][g] = self.grams[lang].get(g, 0) + 1
+        self.total = {x: sum(self.grams[x].values()) + langid.SMOOTH * langid.BUCKETS for x in self.langs}
+        self.prior = {x: math.log(docs[x] / len(labelled)) for x in self.langs}
+        every = {}
+        for own in scripts.values():
+            for name, n in own.items():
+                every[name] = every.get(name, 0) + n
+        self.allowed = {name: [x for x in self.langs if scripts[x].get(name, 0) > langid.SHARE * max(n, 1)] for name, n in every.items()}
+
+    @staticmethod
+    def words(text):
+        out, now = [], ""
+        for c in (text or "") + " ":
+            if unicodedata.category(c)[0] == "L":
+                now += c
+            elif now:
+                out.append(now)
+                now = ""
+        return out
+
+    @staticmethod
+    def script(word):
+        return [name for at, name in langid.SCRIPTS if at <= ord(word[0])][-1]
+
+    @staticmethod
+    def trigrams(word):
+        codes = [0, 0, *[ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in word], 0]
+        wrap = (1 << 64) - 1
+        for a, b, c in zip(codes, codes[1:], codes[2:], strict=False):
+            h = (a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F + c * 0x165667B19E3779F9) * 0xFF51AFD7ED558CCD & wrap
+            yield (h >> 48) % langid.BUCKETS
+
+    def predict(self, text):
+        words = self.words(text)
+        if not words:
+            return "und", 0.0
+        rows = []
+        for word in words:
+            own = {x: sum(math.log((self.grams[x].get(g, 0) + langid.SMOOTH) / self.total[x]) for g in self.trigrams(word)) for x in self.langs}
+            fit = self.allowed.get(self.script(word), [])
+            rows.append({x: (own[x] if x in fit else min(own.values()) + langid.OUTSIDE) if fit else 0.0 for x in self.langs})
+        total = {x: sum(r[x] for r in rows) + self.prior[x] for x in self.langs}
+        value, came = {x: rows[0][x] + self.prior[x] for x in self.langs}, []
+        for r in rows[1:]:
+            best = max(self.langs, key=lambda x: value[x])
+            came.append({x: best if value[best] - langid.SWITCH > value[x] else x for x in self.langs})
+            value = {x: max(value[x], value[best] - langid.SWITCH) + r[x] for x in self.langs}
+        path = [max(self.langs, key=lambda x: value[x])]
+        for step in reversed(came):
+            path.append(step[path[-1]])
+        letters = dict.fromkeys(self.langs, 0)
+        for x, word in zip(reversed(path), words, strict=True):
+            letters[x] += len(word)
+        best = max(self.langs, key=lambda x: letters[x])
+        chance = 1.0 if len(set(path)) > 1 else 1 / sum(math.exp(min(50, max(-700, total[x] - total[best]))) for x in self.langs)
+        return best, min(1.0, letters[best] / sum(letters.values()) * chance)
+
+
+def test_whole_prediction(spark, sf):
+    """Every row's language and score against plain loops; on this table the sample is all labelled rows."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    seen = {(r.doc_id, r.text, r.lang) for r in docs if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 5}
+    assert len(seen) <= langid.SAMPLE
+    slow = Slow([(text, lang) for _, text, lang in seen])
+    got = {r.doc_id: (r.lang_pred, r.score) for r in registry.op10_langid(spark, sf).collect()}
+    for r in docs:
+        lang, score = slow.predict(r.text)
+        assert got[r.doc_id][0] == lang and got[r.doc_id][1] == pytest.approx(score, abs=1e-3)
+
+
+def test_repeated_rows_do_not_pass_the_sample(make_docs):
+    """A language that holds nearly all rows, one of them repeated: at most SAMPLE texts a language are read."""
+    rows = [(1, "the same words again", "en")] * 400 + [(k, f"some other words {k}", "en") for k in range(2, 40)] + [(k, "und noch ein paar worte", "de") for k in range(50, 53)]
+    model = langid.fit(make_docs(rows), 5)
+    docs = np.exp(model.prior)
+    assert model.langs == ["de", "en"] and docs[0] == pytest.approx(3 / 8)
