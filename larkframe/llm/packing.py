@@ -11,7 +11,7 @@ dissolved and their pieces dealt again, longest first, into the smallest gap
 that holds them. Pieces are placed in a shuffled order and longest first; the
 best outcome stays.
 
-Pieces are dealt to groups of about `GROUP` by hash, so a group is packed in
+Pieces are dealt to groups of about `GROUP`, so a group is packed in
 one task and the waste is a few sequences per group at any size of the input.
 """
 
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkframe.llm.common import arrow_batches, blocks_of, stage
+from larkframe.llm.common import blocks_of, in_slices, stage
 
 LENGTH = 1024
 END_ID = 2
@@ -42,14 +42,13 @@ def cut(n: int, length: int) -> list[tuple[int, int]]:
 
 def pieces(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, tokenizers: str | None = None) -> DataFrame:
     """The pieces of every document's ids (null text: empty) followed by `end_id`."""
-    arrow_batches(docs.sparkSession, 500)
     last = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from larkframe.llm.tokens import byte_bpe
 
         bpe = byte_bpe(tokenizers)
-        for batch in batches:
+        for batch in in_slices(batches, 1):
             out: list[list] = [[], [], [], [], []]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = bpe.encode(text.as_py() or "") + last
@@ -148,11 +147,14 @@ def pack(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, tokenizers
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset, one
     row per piece. A null or empty text is the end id alone; rows that repeat
-    a doc_id are packed each. No rows give no rows.
+    a doc_id are packed each. Texts are encoded whole, however long; pieces of one
+    length are equal to the packer. Other columns, whatever their names, take no
+    part. No rows give no rows.
     """
     staged = stage(pieces(docs, length, end_id, tokenizers), "pack-pieces")
     groups = blocks_of(staged.count(), GROUP)
-    dealt = staged.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("long"))
+    # By place in the staged table, which does not change, so that repeated rows do not meet in one group.
+    dealt = staged.withColumn("grp", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])

@@ -104,3 +104,18 @@ def test_cut():
     assert packing.cut(1024, 1024) == [(0, 1024)]
     assert packing.cut(2500, 1024) == [(0, 452), (452, 1024), (1476, 1024)]
     assert packing.cut(3, 1024) == [(0, 3)]
+
+
+@pytest.mark.parametrize("unit", [" ", "\n", "a", "中"])
+def test_very_long_runs(hf, bpe, unit):
+    text = "x" + unit * 2_000_000 + " y"
+    assert np.frombuffer(bpe.encode(text), "<u4").tolist() == hf.encode(text, add_special_tokens=False).ids
+
+
+def test_repeated_rows_are_dealt_to_all_groups(make_docs, monkeypatch, hf):
+    monkeypatch.setattr(packing, "GROUP", 50)
+    docs = make_docs([(1, "the same text")] * 900 + [(k, "other words " * k) for k in range(2, 40)])
+    rows = packing.pack(docs).collect()
+    assert sum(r.doc_id == 1 for r in rows) == 900
+    groups = [r.sequence_id >> 32 for r in rows]
+    assert len(set(groups)) >= 18 and max(map(groups.count, set(groups))) < 120
