@@ -4,7 +4,8 @@ Terms are pairs of adjacent words (a one-word text is its own term), weighted by
 how often they occur. Each term's 64-bit hash votes on every bit; a bit of the
 fingerprint is set where more than half of the weight votes for it. Two bits'
 votes share one long (32 bits each, enough for any text that fits a column), so
-a term adds 32 longs and not 64, and the sums are partial aggregates.
+a term adds 32 longs and not 64. All terms of a text are in one task, where they
+are summed up: only sums are shuffled.
 
 Near fingerprints: 64 bits are cut into `blocks` blocks; two fingerprints within
 the radius agree on at least blocks - radius of them. There is one table for each
@@ -22,17 +23,22 @@ from larkframe.llm.common import stage
 
 BITS = 64
 _LANES = BITS // 2
+_SPACE = " \t\n\x0b\x0c\r"
 #: Rows in a range of the order that one task sorts.
 RANGE = 2000
 MOST_BOUNDS = 512
+#: Ranges whose heads one task orders.
+BLOCK = 1 << 16
 
 
 def terms(text: Column) -> Column:
-    """Hashes of a text's terms, an array with repeats."""
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
-    pairs = F.zip_with(F.slice(hashed, 1, F.greatest(F.size(hashed) - 1, F.lit(0))), F.slice(hashed, 2, F.greatest(F.size(hashed) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
-    return F.when(F.size(hashed) < 2, hashed).otherwise(pairs)
+    """Hashes of a text's terms, an array with repeats; null without words."""
+    trimmed = F.btrim(text, F.lit(_SPACE))
+    # An array of one array, so that the words are found once however often they are used.
+    words = F.array(F.split(trimmed, r"[\x20\x09-\x0D]+"))
+    pairs = lambda w: F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.xxhash64(a, b))
+    own = F.element_at(F.transform(words, lambda w: F.when(F.size(w) < 2, F.transform(w, lambda x: F.xxhash64(x))).otherwise(pairs(w))), 1)
+    return F.when(trimmed != "", own)
 
 
 def _votes() -> list[Column]:
@@ -53,9 +59,11 @@ def _bits() -> Column:
 
 
 def fingerprints(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """`keys` and fp (long) for each distinct value of the keys, which must determine the text. Null or empty: 0."""
-    each = texts.select(*keys, F.explode_outer(terms(F.coalesce(F.col(text), F.lit("")))).alias("term"))
-    return each.groupBy(*keys).agg(F.count("term").alias("n"), *_votes()).select(*keys, _bits().alias("fp"))
+    """`keys`, fp (long) and n_rows for each distinct value of the keys, which must determine the text. Null or without words: 0."""
+    each = texts.select(*keys, F.posexplode_outer(terms(F.coalesce(text, F.lit("")))).alias("pos", "term"))
+    # Repeated rows multiply all votes alike; their first terms tell how many there are.
+    n_rows = F.sum(F.when(F.col("pos") > 0, 0).otherwise(1)).alias("n_rows")
+    return each.groupBy(*keys).agg(F.count("term").alias("n"), n_rows, *_votes()).select(*keys, _bits().alias("fp"), "n_rows")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -68,38 +76,49 @@ def as_text(fp: Column) -> Column:
 
 
 def _ranges(rows: DataFrame, n: int) -> Column:
-    """A range number that grows with doc_id, about RANGE rows each: bounds at quantiles, each range cut evenly."""
+    """A range number that grows with (doc_id, h), nulls lowest, about RANGE rows each.
+
+    Bounds are at quantiles of doc_id, and each range between two is cut evenly. An
+    id that holds several quantiles has ranges of its own by h, and so have nulls.
+    """
     if not n:
         return F.lit(0).cast("long")
     count = min(MOST_BOUNDS, -(-n // RANGE))
-    cuts = [k / count for k in range(count + 1)]
-    bounds = rows.agg(F.percentile_approx("doc_id", F.array(*[F.lit(c) for c in cuts]), F.lit(20 * MOST_BOUNDS))).first()[0]
-    if not bounds:
-        return F.lit(0).cast("long")
-    bounds = sorted(set(bounds))
+    found, nulls = rows.agg(F.percentile_approx("doc_id", F.array(*[F.lit(k / count) for k in range(count + 1)]), F.lit(20 * MOST_BOUNDS)), F.count_if(F.col("doc_id").isNull())).first()
+    found = sorted(found or [0])
+    bounds = sorted(set(found))
     parts = -(-n // (RANGE * count))
-    edges = F.array(*[F.lit(float(b)) for b in bounds])
-    x = F.coalesce(F.col("doc_id").cast("double"), F.lit(float(bounds[0])))
-    at = F.greatest(F.size(F.filter(edges, lambda b: b <= x)), F.lit(1))
-    low, high = F.element_at(edges, at), F.element_at(edges, F.least(at + 1, F.lit(len(bounds))))
-    sub = F.when(high > low, F.floor((x - low) / (high - low) * parts)).otherwise(0)
-    return (at * parts + F.greatest(F.least(sub, F.lit(parts - 1)), F.lit(0))).cast("long")
+    several = [(found.count(b) - 1) * parts for b in bounds]
+    of_null = max(1, -(-nulls // RANGE))
+    width = max(parts, of_null, *several)
+    x, edges = F.col("doc_id"), F.array(*[F.lit(b).cast("long") for b in bounds])
+    at = F.size(F.filter(edges, lambda b: b <= x))
+    own = F.element_at(F.array(*[F.lit(s) for s in several]), F.greatest(at, F.lit(1)))
+    low, high = [F.element_at(edges, F.greatest(F.least(i, F.lit(len(bounds))), F.lit(1))).cast("double") for i in (at, at + 1)]
+    by_hash = lambda k: F.least(F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * k), k - 1)
+    by_id = F.when(high > low, F.greatest(F.least(F.floor((x.cast("double") - low) / (high - low) * parts), F.lit(parts - 1)), F.lit(0))).otherwise(0)
+    hot = (at > 0) & (low == x.cast("double")) & (own > 0)
+    number = F.when(x.isNull(), by_hash(F.lit(of_null))).when(hot, (2 * at + 1) * width + by_hash(own)).otherwise((2 * at + 2) * width + by_id)
+    return number.cast("long")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """Distinct (doc_id, text) rows with the next one by descending doc_id (null last), the first after the last.
+    """All rows (doc_id, h, text) with the next one by descending (doc_id, h), null ids last, the first after the last.
 
     Rows are ordered within ranges of doc_id; the last row of a range is
-    followed by the head of the next range that has rows.
+    followed by the head of the next range that has rows, which is found in two
+    levels, so that only as many heads as a block of ranges has are in one place.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    n = rows.count()
-    rows = rows.withColumn("range", _ranges(docs, n))
+    rows = rows.withColumn("range", _ranges(docs, docs.count()))
     ids = ["doc_id", "h"]
-    slim = rows.groupBy("range").agg(F.max(F.struct(*ids)).alias("head"))
-    order = Window.orderBy(F.desc("range"))
-    ends = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    heads = stage(slim.select("range", F.coalesce(F.lead("head").over(order), F.first("head").over(ends)).alias("head")), "simhash-heads")
+    slim = rows.groupBy("range").agg(F.max(F.struct(*ids)).alias("head")).withColumn("block", F.floor(F.col("range") / BLOCK))
+    slim = stage(slim, "simhash-ranges")
+    order = Window.orderBy(F.desc("block"))
+    first = slim.groupBy("block").agg(F.max(F.struct("range", "head"))["head"].alias("first"))
+    first = first.select("block", F.coalesce(F.lead("first").over(order), F.first("first").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("first"))
+    heads = slim.join(first, "block").select("range", F.coalesce(F.lead("head").over(Window.partitionBy("block").orderBy(F.desc("range"))), "first").alias("head"))
+    heads = stage(heads, "simhash-heads")
     texts = rows.select(*ids, "text").join(
         heads.select(F.col("head.doc_id").alias("_d"), F.col("head.h").alias("_h")).distinct().hint("broadcast" if heads.count() <= 200_000 else "merge"),
         F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h")), "left_semi",
@@ -107,33 +126,35 @@ def with_next(docs: DataFrame) -> DataFrame:
     texts = texts.dropDuplicates(ids)
     follow = heads.join(texts, heads["head.doc_id"].eqNullSafe(texts["doc_id"]) & (heads["head.h"] == texts["h"])).select("range", F.struct(texts["doc_id"], "h", "text").alias("after"))
     within = Window.partitionBy("range").orderBy(F.desc("doc_id"), F.desc("h"))
-    rows = rows.withColumn("before", F.lag(F.struct(*ids)).over(within)).withColumn("n1", F.lead(F.struct(*ids, "text")).over(within))
-    rows = rows.filter(F.col("before").isNull() | ~F.col("before").eqNullSafe(F.struct(*ids)))
-    return rows.drop("before").join(follow, "range")
+    return rows.withColumn("n1", F.lead(F.struct(*ids, "text")).over(within)).join(follow, "range").withColumn("after", F.coalesce("n1", "after")).drop("n1", "range")
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Fingerprints of all documents, of their edited texts, and their likeness; one row per distinct (doc_id, text).
+    """Fingerprints of all documents, of their edited texts, and their likeness; one row per row.
 
     The edited text: the last floor(n / 3) code points replaced by the first as
-    many (or all) of the next document by descending doc_id. Null texts count as
-    empty; their fingerprint is 0. No rows give no rows.
+    many (or all) of the next document by descending doc_id; ties of doc_id go by
+    the hash of the text, and the next document of a repeated row is its next copy,
+    if any. Null texts count as empty; without words a fingerprint is 0. Texts are
+    taken whole, however long. Other columns, whatever their names, take no part.
+    No rows give no rows.
     """
-    rows = with_next(docs).withColumn("after", F.coalesce("n1", "after"))
+    rows = with_next(docs.select("doc_id", "text"))
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("after.text", F.lit(1), cut))
     rows = rows.select("doc_id", "h", F.col("after.doc_id").alias("nd"), F.col("after.h").alias("nh"), n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
-    rows = rows.withColumn("sha", F.sha2(F.col("edited").cast("binary"), 256))
+    rows = rows.withColumn("sha", F.unhex(F.sha2(F.col("edited").cast("binary"), 256)))
     both = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t"))))
     keys = ["doc_id", "h", "nd", "nh", "n_chars", "sha"]
     rows = rows.select(*keys, both.alias("x")).select(*keys, "x.kind", "x.t")
     fps = fingerprints(rows, [*keys, "kind"], "t")
-    wide = stage(fps.groupBy(*keys).agg(F.max(F.when(F.col("kind") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("kind") == 1, F.col("fp"))).alias("edited_fp")), "simhash-fps")
-    near = wide.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), F.col("fp").alias("next_fp"))
-    out = wide.join(near, F.col("nd").eqNullSafe(F.col("_d")) & (F.col("nh") == F.col("_h")))
+    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("fp")))
+    wide = stage(fps.groupBy(*keys).agg(of(0).alias("fp"), of(1).alias("edited_fp"), F.max("n_rows").alias("n_rows")), "simhash-fps")
+    near = wide.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), F.col("fp").alias("next_fp")).distinct()
+    out = wide.join(near, F.col("nd").eqNullSafe(F.col("_d")) & (F.col("nh") == F.col("_h"))).withColumn("row", F.explode(F.sequence(F.lit(1), "n_rows")))
     return out.select(
-        "doc_id", "n_chars", F.col("sha").alias("edited_sha256"), as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("edited_fp")).alias("edited_fingerprint"),
+        "doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("edited_fp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
     )
 

@@ -1,28 +1,42 @@
 import hashlib
 import random
+import re
 
+import xxhash
 from pyspark.sql import functions as F
 
 from larkframe.llm import registry, simhash
 
 
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def text_hash(text):
+    return signed(xxhash.xxh64(text.encode(), seed=42).intdigest())
+
+
+def brute_print(text):
+    """Majority of the signed bits of the hashed word pairs, by plain loops."""
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+    one = lambda w, seed: xxhash.xxh64(w.encode(), seed=seed).intdigest()
+    hashes = [one(y, one(x, 42)) for x, y in zip(words, words[1:], strict=False)] or [one(w, 42) for w in words]
+    votes = [sum(1 if h >> bit & 1 else -1 for h in hashes) for bit in range(64)]
+    return f"{sum(1 << bit for bit, v in enumerate(votes) if v > 0):016x}"
+
+
 def check(docs, rows):
-    """Brute force: texts once per (doc_id, text), descending, null ids last."""
-    texts = sorted({(r.doc_id, r.text or "") for r in docs}, key=lambda x: (x[0] is not None, x[0] or 0), reverse=True)
-    by = {}
-    for r in rows:
-        by.setdefault((r.doc_id, r.n_chars), []).append(r)
-    assert len(rows) == len(texts)
-    if len({t[0] for t in texts}) == len(texts):
-        got = {r.doc_id: r for r in rows}
-        for k, (doc, text) in enumerate(texts):
-            after = texts[(k + 1) % len(texts)]
-            cut = len(text) // 3
-            edited = text[: len(text) - cut] + after[1][:cut]
-            r = got[doc]
-            assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
-            assert r.near_next == 1 - bin(int(r.fingerprint, 16) ^ int(got[after[0]].fingerprint, 16)).count("1") / 64
-            assert r.near_edited == 1 - bin(int(r.fingerprint, 16) ^ int(r.edited_fingerprint, 16)).count("1") / 64
+    """Brute force of the whole result: every row, descending id and hash, null ids last."""
+    texts = sorted(((r.doc_id, r.text or "") for r in docs), key=lambda x: (x[0] is not None, x[0] or 0, text_hash(x[1])), reverse=True)
+    prints, expect = {}, []
+    of = lambda t: prints.setdefault(t, brute_print(t))
+    like = lambda a, b: 1 - bin(int(a, 16) ^ int(b, 16)).count("1") / 64
+    for k, (doc, text) in enumerate(texts):
+        after = texts[(k + 1) % len(texts)][1]
+        cut = len(text) // 3
+        edited = text[: len(text) - cut] + after[:cut]
+        expect.append((doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), of(text), of(edited), like(of(text), of(edited)), like(of(text), of(after))))
+    assert sorted(map(str, expect)) == sorted(str(tuple(r)) for r in rows)
     return rows
 
 
@@ -57,14 +71,20 @@ def test_extreme_ids(make_docs):
     check(docs.collect(), simhash.digest(docs).collect())
 
 
-def test_votes(make_docs, spark):
-    """Every bit is the majority of the term hashes."""
-    text = "a b c d e f a b a b"
-    df = spark.createDataFrame([(1, text)], "id long, text string")
-    hashes = df.select(F.explode(simhash.terms(F.col("text"))).alias("h")).collect()
-    assert len(hashes) == 9
-    expect = sum(1 << b for b in range(64) if 2 * sum((r.h >> b) & 1 for r in hashes) > len(hashes))
-    assert simhash.fingerprints(df, ["id"]).first().fp & (2**64 - 1) == expect
+def test_repeated_rows_and_hot_ids(make_docs, monkeypatch):
+    """Rows that repeat stay; ids that hold many rows, and nulls, are cut into ranges by hash."""
+    monkeypatch.setattr(simhash, "RANGE", 4)
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    rows = [(5, f"text {k} of one id") for k in range(60)] + [(None, f"text {k} without id") for k in range(30)] + [(k, "the same words") for k in range(20)] + [(3, "again and again")] * 7
+    docs = make_docs(rows)
+    assert len(check(docs.collect(), simhash.digest(docs).collect())) == len(rows)
+    ranges = docs.withColumn("h", F.xxhash64("text")).groupBy(simhash._ranges(docs, len(rows)).alias("r")).agg(F.count("*").alias("n"), F.countDistinct("h").alias("d")).collect()
+    assert max(r.d for r in ranges) < 16
+
+
+def test_long_texts(make_docs):
+    docs = make_docs([(1, "a b c " * 70_000), (2, "x" * 300_000), (3, " " * 100_000 + "one")])
+    check(docs.collect(), simhash.digest(docs).collect())
 
 
 def test_near_fingerprints(spark):
@@ -75,10 +95,10 @@ def test_near_fingerprints(spark):
         for b in rng.sample(range(64), rng.randrange(1, 6)):
             x ^= 1 << b
         values.append(x)
-    signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    df = spark.createDataFrame([(v,) for v in [*signed, *signed[:9], None]], "fp long")
+    whole = [signed(v) for v in values]
+    df = spark.createDataFrame([(v,) for v in [*whole, *whole[:9], None]], "fp long")
     for radius, blocks in ((3, 6), (1, 3), (0, 2)):
         got = sorted((r.a, r.b, r.distance) for r in simhash.near_fingerprints(df, radius, blocks).collect())
-        own = sorted(set(signed))
+        own = sorted(set(whole))
         expect = [(a, b, d) for k, a in enumerate(own) for b in own[k + 1 :] if (d := bin((a ^ b) & (2**64 - 1)).count("1")) <= radius]
         assert got == sorted(expect)
