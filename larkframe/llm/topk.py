@@ -12,7 +12,10 @@ set G of rows that are surely in and a set E of rows tied so far. What E holds i
 the end are rows of equal score: the boundary is resolved by smaller id.
 
 A block of queries is scored at once. Every block of rows meets every block of
-queries once, dealt by slot, and leaves k rows per query.
+queries once and leaves k rows per query; its index is made once for all the
+query blocks that come to it together. Components are whole numbers in doubles, so
+any finite vector takes part: where sums could pass 62 bits, a block is scored in
+whole numbers without a bound.
 """
 
 from __future__ import annotations
@@ -25,41 +28,53 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkframe.llm.common import arrow_batches
+from larkframe.llm.common import blocks_of, stage
 
 SCALE = 256
 #: Rows that one index block holds, and queries that are scored at once.
 BLOCK, QUERY_BLOCK = 8192, 256
-#: Whole numbers above this would not fit the sum of a product into a long; such vectors take no part.
-LARGEST = 1 << 27
-SLOTS = 1024
+#: Query blocks that one task scores against a block of rows.
+TOGETHER = 8
+#: Rows with a component from here on are in blocks of their own, so that few rows go the wide way.
+NARROW = 1 << 24
+#: Bits that a sum may have; whole numbers beyond go the wide way.
+BITS = 62
+#: Scores are longs; what lies beyond is cut to their ends.
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 _BLOCKS = "dim int, block binary, ids binary, rows binary"
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(vec_id, v): floor(256 x) of every component; vectors with null or non-finite components are left out, null ids too."""
+    """(vec_id, v): floor(256 x) of every component, whole numbers as doubles; vectors with null or non-finite components are left out, null ids too."""
     x = F.col(vector)
-    fine = F.forall(x, lambda c: F.coalesce(F.abs(c.cast("double")) * SCALE < LARGEST, F.lit(False)) & ~F.isnan(c))
+    # 256 x is exact in doubles, unless it overflows; then the component is beyond any whole number that can be told apart.
+    fine = F.forall(x, lambda c: F.coalesce(F.abs(c.cast("double")) < float("inf"), F.lit(False)) & ~F.isnan(c))
     rows = vectors.filter(x.isNotNull() & fine & F.col(id_col).isNotNull())
-    return rows.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c.cast("double") * SCALE).cast("int")).alias("v"))
+    largest = 1.7976931348623157e308
+    scaled = lambda c: F.greatest(F.least(c.cast("double") * SCALE, F.lit(largest)), F.lit(-largest))
+    whole = lambda c: F.when(F.abs(scaled(c)) < 2.0**52, F.floor(scaled(c)).cast("double")).otherwise(scaled(c))
+    return rows.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, whole).alias("v"))
 
 
 def _blocks(vectors: DataFrame, size: int) -> DataFrame:
-    """Rows as blocks of one dimension each, sorted by id; equal rows of a block count once."""
+    """Rows as blocks of one dimension and kind (large or not) each, sorted by id; equal rows of a block count once."""
 
     def made(dim: int, rows: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple]:
         ids, v = np.concatenate([a for a, _ in rows]), np.concatenate([b for _, b in rows])
         for at in range(0, len(ids), size):
-            x = np.unique(np.column_stack([ids[at : at + size], v[at : at + size].astype(np.int64)]), axis=0)
-            own, mat = x[:, 0].astype("<i8").tobytes(), x[:, 1:].astype("<i4").tobytes()
+            order = np.lexsort([*v[at : at + size].T[::-1], ids[at : at + size]])
+            i, x = ids[at : at + size][order], v[at : at + size][order]
+            new = np.ones(len(i), bool)
+            new[1:] = (i[1:] != i[:-1]) | (x[1:] != x[:-1]).any(1)
+            own, mat = i[new].astype("<i8").tobytes(), (x[new] + 0.0).astype("<f8").tobytes()  # -0.0 is 0.0
             yield dim, hashlib.md5(own + mat).digest(), own, mat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        count: dict[int, int] = {}
+        held: dict[tuple, list] = {}
+        count: dict[tuple, int] = {}
 
-        def out(dims):
-            rows = [r for d in dims for r in made(d, held.pop(d))]
+        def out(keys):
+            rows = [r for key in keys for r in made(key[0], held.pop(key))]
             types = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["dim", "block", "ids", "rows"])
 
@@ -70,11 +85,14 @@ def _blocks(vectors: DataFrame, size: int) -> DataFrame:
             for d in np.unique(n).tolist():
                 own = np.flatnonzero(n == d)
                 v = flat[(ends[own] - d)[:, None] + np.arange(d)] if len(own) < len(n) else flat.reshape(-1, d)
-                held.setdefault(d, []).append((ids[own], v))
-                count[d] = count.get(d, 0) + len(own)
-                if count[d] >= size:
-                    yield out([d])
-                    count[d] = 0
+                large = np.abs(v).max(1, initial=0) >= NARROW
+                for side in np.unique(large).tolist():
+                    key, at = (d, side), large == side
+                    held.setdefault(key, []).append((ids[own[at]], v[at]))
+                    count[key] = count.get(key, 0) + int(at.sum())
+                    if count[key] >= size:
+                        yield out([key])
+                        count[key] = 0
         if held:
             yield out(sorted(held))
 
@@ -132,6 +150,11 @@ class BitSlices:
                         break
         return total, constant
 
+    def fits(self, q: np.ndarray) -> bool:
+        """Whether all sums of these queries, and what is added to them, stay within BITS bits."""
+        size = np.abs(q).max(0, initial=0).astype(object)
+        return int((size * ((1 << self.bits) + np.abs(self.low).astype(object))).sum()) < 1 << BITS
+
     def best(self, q: np.ndarray, k: int, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each query the k best row numbers and their scores; own: bitmaps of rows that a query must not return."""
         total, constant = self.add_up(q)
@@ -151,36 +174,61 @@ class BitSlices:
             yield rows, scores
 
 
+def wide(rows: np.ndarray, q: np.ndarray, k: int, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """As BitSlices.best, in whole numbers without a bound; own (queries, rows): rows that a query must not return."""
+    mat = np.array([[int(c) for c in r] for r in rows.tolist()], object)
+    for x, query in enumerate(q.tolist()):
+        scores = mat @ np.array([int(c) for c in query], object) if mat.size else np.zeros(len(rows), object)
+        scores = [min(max(int(s), LEAST), MOST) for s in scores]
+        at = sorted(np.flatnonzero(~own[x]).tolist(), key=lambda r: (-scores[r], r))[:k]
+        yield np.array(at, np.int64), np.array([scores[r] for r in at], np.int64)
+
+
+def _scores(rows: pa.Table, asks: pa.Table, k: int) -> pa.Table:
+    """The k best of a block of rows for each query of some blocks of queries."""
+    found: list[list] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+    blobs = [asks.column(c).to_pylist() for c in ("q_ids", "q_rows")]
+    for dim, ids, mat in zip(*[rows.column(c).to_pylist() for c in ("dim", "ids", "rows")], strict=True):
+        ids = np.frombuffer(ids, "<i8")
+        mat = np.frombuffer(mat, "<f8").reshape(len(ids), dim)
+        index = BitSlices(mat.astype(np.int64)) if np.abs(mat).max(initial=0) < 1 << 31 else None
+        for q_ids, q in zip(*blobs, strict=True):
+            q_ids = np.frombuffer(q_ids, "<i8")
+            q = np.frombuffer(q, "<f8").reshape(len(q_ids), dim)
+            same = q_ids[:, None] == ids[None, :]
+            if index is not None and np.abs(q).max(initial=0) < 1 << 31 and index.fits(q.astype(np.int64)):
+                own = np.zeros((len(q_ids), index.every.size * 64), np.uint8)
+                own[:, : len(ids)] = same
+                out = list(index.best(q.astype(np.int64), k, np.packbits(own, axis=1, bitorder="little").view(np.uint64)))
+            else:
+                out = list(wide(mat, q, k, same))
+            found[0] += [np.full(len(r), a, np.int64) for a, (r, _) in zip(q_ids, out, strict=True)]
+            found[1] += [ids[r] for r, _ in out]
+            found[2] += [s for _, s in out]
+    return pa.table([pa.array(np.concatenate(x)) for x in found], ["query_id", "vec_id", "score"])
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """For each query of (vec_id, v) its k best rows of (vec_id, v): query_id, rank, vec_id, score.
 
     A row with the query's own id is not its candidate; ties go to the smaller
-    id; equal rows count once; vectors meet only vectors of their own length. No
-    queries or no candidates give no rows.
+    id; equal rows count once; vectors meet only vectors of their own length, and
+    empty ones score 0. Scores beyond a long are cut to its ends, and ties there. No queries or no
+    candidates give no rows.
     """
-    spark = vectors.sparkSession
-    arrow_batches(spark, 10_000)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = _blocks(vectors, BLOCK).withColumn("slot", F.pmod(F.xxhash64("block"), F.lit(SLOTS)).cast("int"))
-    asks = _blocks(queries.coalesce(max(1, n // 8)), QUERY_BLOCK).select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"))
-    used = rows.select("slot").distinct()
-    asks = asks.withColumn("q_slot", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1)))).join(used.withColumnRenamed("slot", "q_slot"), "q_slot", "left_semi")
-    pairs = rows.join(asks, (F.col("slot") == F.col("q_slot")) & (F.col("dim") == F.col("q_dim"))).select("dim", "ids", "rows", "q_ids", "q_rows")
-    pairs = pairs.repartition(4 * n, F.xxhash64("ids"), F.xxhash64("q_ids"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for dim, *blobs in zip(*[batch.column(c).to_pylist() for c in range(5)], strict=True):
-                ids, q_ids = np.frombuffer(blobs[0], "<i8"), np.frombuffer(blobs[2], "<i8")
-                mat, q = np.frombuffer(blobs[1], "<i4").reshape(len(ids), dim).astype(np.int64), np.frombuffer(blobs[3], "<i4").reshape(len(q_ids), dim).astype(np.int64)
-                index = BitSlices(mat)
-                own = np.zeros((len(q_ids), index.every.size * 64), np.uint8)
-                own[:, : len(ids)] = q_ids[:, None] == ids[None, :]
-                out = list(index.best(q, k, np.packbits(own, axis=1, bitorder="little").view(np.uint64)))
-                found = [np.full(len(r), a, np.int64) for a, (r, _) in zip(q_ids, out, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate([ids[r] for r, _ in out])), pa.array(np.concatenate([s for _, s in out]))], ["query_id", "vec_id", "score"])
-
-    near = pairs.mapInArrow(run, "query_id long, vec_id long, score long").distinct()
+    # Blocks are staged, so that they are the same whenever a task is run again.
+    rows = stage(_blocks(vectors, BLOCK), "topk-rows")
+    asks = stage(_blocks(queries.coalesce(max(1, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)), QUERY_BLOCK), "topk-queries")
+    # Blocks of a dimension get dense numbers: one slim row per block is ordered in one place.
+    slots = rows.select("dim", "block").distinct().select("dim", "block", (F.row_number().over(Window.partitionBy("dim").orderBy("block")) - 1).alias("slot"))
+    slots = stage(slots, "topk-slots")
+    parts = blocks_of(asks.count(), TOGETHER)
+    n = slots.groupBy("dim").agg(F.count("*").cast("int").alias("n")).select(F.col("dim").alias("d"), "n")
+    asks = asks.dropDuplicates(["dim", "block"]).join(n, F.col("dim") == F.col("d"))
+    asks = asks.select("dim", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("slot"), F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int").alias("part"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"))
+    rows = rows.dropDuplicates(["dim", "block"]).join(slots, ["dim", "block"]).select("dim", "slot", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "ids", "rows")
+    by = ["dim", "slot", "part"]
+    near = rows.groupBy(*by).cogroup(asks.groupBy(*by)).applyInArrow(lambda r, a: _scores(r, a, k), "query_id long, vec_id long, score long").distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

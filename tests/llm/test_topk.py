@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from larkframe.llm import registry, topk
 
@@ -10,7 +11,8 @@ def brute(rows, queries, k=5):
     """rows: (id, whole numbers)."""
     out = []
     for q, v in queries:
-        best = sorted((-int(np.dot(np.array(v, object), np.array(w, object))) if len(v) else 0, i) for i, w in rows if i != q and len(w) == len(v))[:k]
+        dot = lambda w: min(max(int(np.dot(np.array(v, object), np.array(w, object))) if len(v) else 0, topk.LEAST), topk.MOST)  # noqa: B023, E731
+        best = sorted((-dot(w), i) for i, w in rows if i != q and len(w) == len(v))[:k]
         out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     return sorted(out)
 
@@ -58,6 +60,29 @@ def test_odd_rows(spark):
     assert topk.top_k(none, none).count() == 0 and topk.top_k(v, none).count() == 0
 
 
+def test_large_components_take_part(spark, monkeypatch):
+    """No finite vector is left out, and scores are exact as far as they fit a long."""
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    rng = np.random.default_rng(8)
+    rows = [(i, (rng.integers(-9, 9, 3) * 10.0 ** int(rng.integers(0, 6))).tolist()) for i in range(60)]
+    rows += [(100, [600000.0, 1.0, -3.0]), (150, [2.0**31, -(2.0**30), 0.5]), (200, [1e12, 1e3, -1e12])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows]
+    v = topk.quantised(df)
+    expect = brute(whole, [r for r in whole if r[0] % 50 == 0])
+    assert found(topk.top_k(v, v.filter("vec_id % 50 = 0"))) == expect
+    assert any(i == 100 for _, _, i, _ in expect)
+    huge = spark.createDataFrame([(0, [3e38, 1.0]), (1, [3e38, -1.0]), (2, [-3e38, 0.0])], "vec_id long, embedding array<float>")
+    v = topk.quantised(huge)
+    assert found(topk.top_k(v, v.filter("vec_id = 0"))) == [(0, 1, 1, topk.MOST), (0, 2, 2, topk.LEAST)]
+
+
+def test_rows_in_another_order_give_the_same(spark, sf):
+    v = topk.quantised(spark.read.parquet(f"{sf}/embeddings.parquet"))
+    mixed = v.orderBy(F.xxhash64("vec_id")).repartition(3)
+    assert found(topk.top_k(v, v.filter("vec_id % 50 = 0"))) == found(topk.top_k(mixed, mixed.filter("vec_id % 50 = 0")))
+
+
 @pytest.mark.parametrize("k", [1, 3])
 def test_ties_go_to_the_smaller_id(spark, k):
     df = spark.createDataFrame([(i, [1, 1]) for i in range(40)], "vec_id long, v array<int>")
