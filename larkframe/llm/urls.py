@@ -1,13 +1,19 @@
 """URL filter: host and path rules, then gradient-boosted trees on lexical features.
 
-Everything is DataFrame expressions. The trees are oblivious (one split per
-level) and are fitted by histogram boosting with a logistic loss: the labelled
-URLs are first summed up by their binned features, which is all that boosting
-ever sees; each level of each tree is one aggregation that returns a histogram
-of fixed size. A fitted model is a SQL expression.
-
-Labels are the verdicts of the rules: the model learns what the rules block and
-judges the URLs that no rule fits.
+Everything is DataFrame expressions. The features are lexical alone: lengths,
+depth, digit ratio, entropy, numbers of parameters, labels and dashes, and learned
+statistics of suffixes (the top-level domain, what the path ends with). Suffixes are counted in hashed buckets of a fixed number, so
+that their table has a bound and no suffix is a hot key.
+
+The trees are oblivious (one split per level) and are fitted by histogram boosting
+with a logistic loss: the labelled URLs are first summed up by their binned
+features, which is all that boosting ever sees; each level of each tree is one
+aggregation that returns a histogram of fixed size. A fitted model is a SQL
+expression.
+
+Labels are the verdicts of the rules; the model judges the URLs that no rule fits.
+What decides a rule by a path's beginning is not among the features: `held_out`
+tells how far lexical features go without it.
 """
 
 from __future__ import annotations
@@ -28,18 +34,18 @@ EDGES = {
     "path_length": (1, 3, 5, 7, 9, 11, 13, 16, 20, 26, 34, 50, 80),
     "depth": (0, 1, 2, 3, 4, 5, 6, 8, 12),
     "digit_ratio": (0.0, 0.02, 0.04, 0.06, 0.08, 0.1, 0.13, 0.16, 0.2, 0.3, 0.5),
-    "first_digit": (-1, 0, 1, 2, 3, 4, 5, 6, 7, 8),
     "entropy": (2.0, 2.5, 3.0, 3.25, 3.5, 3.6, 3.7, 3.8, 3.9, 4.0, 4.1, 4.2, 4.35, 4.5, 5.0),
     "params": (0, 1, 2, 3, 4, 6, 10),
     "labels": (0, 1, 2, 3, 4, 5, 7),
     "dashes": (0, 1, 2, 3, 5, 8),
     "host_suffix": (0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.98),
-    "path_prefix": (0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.98),
     "path_end": (0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.98),
 }
 TREES, DEPTH, RATE, RIDGE = 8, 3, 0.4, 2.0
 #: Weight of the overall block rate in a suffix's statistic.
 PRIOR = 8.0
+#: Hashed buckets that the texts of a suffix statistic are counted in.
+BUCKETS = 4096
 #: Folds of URLs whose labels are kept from their own statistics.
 FOLDS = 5
 
@@ -55,7 +61,7 @@ def parts(url: Column) -> tuple[Column, Column]:
 
 
 def matched(host: Column, path: Column, rules=RULES) -> Column:
-    """The longest rule that fits: struct(rule, verdict), or null; among equally long ones the first."""
+    """The longest rule that fits: struct(rule, verdict), or null; of equally long ones the one given last."""
     found = F.lit(None)
     for own_host, own_path, verdict in sorted(rules, key=lambda r: len(r[0]) + len(r[1])):
         fits = ((host == own_host) | host.endswith("." + own_host)) & path.startswith(own_path)
@@ -71,13 +77,16 @@ def _entropy(text: Column) -> Column:
     return F.when(n > 0, F.aggregate(each, F.lit(0.0), lambda a, p: F.when(p > 0, a - p * F.log2(p)).otherwise(a))).otherwise(0.0)
 
 
+def bucket(text: Column) -> Column:
+    return F.pmod(F.xxhash64(text), F.lit(BUCKETS)).cast("int")
+
+
 def lexical(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, path and the lexical features; the texts whose statistics are learned are h_*, p_* and e_*."""
+    """page_id, url, host, path and the lexical features; the suffixes whose statistics are learned are h_* and e_*, as buckets."""
     host, path = parts(F.col("url"))
     url = F.coalesce(F.col("url"), F.lit(""))
     df = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     digits = F.regexp_count(url, F.lit("[0-9]"))
-    suffix = F.regexp_extract("host", r"([^.]*)$", 1)
     last = F.regexp_extract("path", r"([^/]*)/?$", 1)
     return df.select(
         "page_id", "url", "host", "path",
@@ -85,19 +94,17 @@ def lexical(pages: DataFrame) -> DataFrame:
         F.length("path").cast("double").alias("path_length"),
         F.regexp_count("path", F.lit("/")).cast("double").alias("depth"),
         F.when(F.length(url) > 0, digits / F.length(url)).otherwise(0.0).alias("digit_ratio"),
-        F.coalesce(F.expr("try_cast(regexp_extract(path, '([0-9])', 1) as int)"), F.lit(-1)).cast("double").alias("first_digit"),
         _entropy(url).alias("entropy"),
         F.when(url.contains("?"), F.regexp_count(F.regexp_extract(url, r"\?([^#]*)", 1), F.lit("[^&]+"))).otherwise(0).cast("double").alias("params"),
         F.regexp_count("host", F.lit(r"\.")).cast("double").alias("labels"),
         F.regexp_count("host", F.lit("-")).cast("double").alias("dashes"),
-        suffix.alias("h_suffix"),
-        F.concat(F.regexp_extract("path", r"^/([^/]*)", 1), F.lit("/"), F.substring(F.regexp_extract("path", r"^/[^/]*/([^/]*)", 1), 1, 1)).alias("p_prefix"),
-        F.when(last.contains("."), F.regexp_extract(last, r"(\.[^.]*)$", 1)).when(F.col("path").endswith("/"), "/").otherwise("").alias("e_end"),
+        bucket(F.regexp_extract("host", r"([^.]*)$", 1)).alias("h_suffix"),
+        bucket(F.when(last.contains("."), F.regexp_extract(last, r"(\.[^.]*)$", 1)).when(F.col("path").endswith("/"), "/").otherwise("")).alias("e_end"),
     )
 
 
 #: Learned statistics: feature, its text.
-STATISTICS = (("host_suffix", "h_suffix"), ("path_prefix", "p_prefix"), ("path_end", "e_end"))
+STATISTICS = (("host_suffix", "h_suffix"), ("path_end", "e_end"))
 
 
 def with_statistics(df: DataFrame, labelled: DataFrame, rate: float, apart: bool = False) -> DataFrame:
@@ -109,12 +116,13 @@ def with_statistics(df: DataFrame, labelled: DataFrame, rate: float, apart: bool
     for feature, text in STATISTICS:
         folds = labelled.groupBy(text, "fold").agg(F.sum("y").alias("s"), F.count("*").alias("n"))
         known = folds.groupBy(text).agg(F.sum("s").alias("ts"), F.sum("n").alias("tn"))
+        # Broadcast: at most BUCKETS rows, or FOLDS times as many.
         if apart:
             known = known.join(folds, text)
             ratio = (F.col("ts") - F.col("s") + PRIOR * rate) / (F.col("tn") - F.col("n") + PRIOR)
-            df = df.join(known.select(text, "fold", ratio.alias(feature)), [text, "fold"], "left")
+            df = df.join(F.broadcast(known.select(text, "fold", ratio.alias(feature))), [text, "fold"], "left")
         else:
-            df = df.join(known.select(text, ((F.col("ts") + PRIOR * rate) / (F.col("tn") + PRIOR)).alias(feature)), text, "left")
+            df = df.join(F.broadcast(known.select(text, ((F.col("ts") + PRIOR * rate) / (F.col("tn") + PRIOR)).alias(feature))), text, "left")
         df = df.withColumn(feature, F.coalesce(feature, F.lit(rate)))
     return df
 
@@ -182,17 +190,47 @@ def fit(examples: DataFrame, trees: int = TREES, depth: int = DEPTH, rate: float
     return model
 
 
+def _known(pages: DataFrame, rules) -> tuple[DataFrame, DataFrame]:
+    """(features of all pages and the rule that hits each, the labelled ones with y and fold)."""
+    known = stage(lexical(pages.select("page_id", "url")).withColumn("hit", matched(F.col("host"), F.col("path"), rules)), "url-features")
+    labelled = known.filter("hit is not null").withColumn("y", (F.col("hit.verdict") == "block").cast("int"))
+    return known, labelled.withColumn("fold", F.pmod(F.xxhash64("url"), F.lit(FOLDS)))
+
+
+def _bins() -> list[Column]:
+    return [binned(f).alias(f"b_{f}") for f in EDGES]
+
+
+def _fitted(labelled: DataFrame) -> tuple[Boosted, float]:
+    rate = labelled.agg(F.coalesce(F.avg("y"), F.lit(0.5))).first()[0]
+    return fit(with_statistics(labelled, labelled, rate, apart=True).select("y", *_bins())), rate
+
+
+def held_out(pages: DataFrame, rules=RULES) -> DataFrame:
+    """What the model says of labelled URLs that it has not seen: n, right, log_loss and base_loss (of the block rate alone).
+
+    A fold by the URL's hash is held out: equal URLs are on one side.
+    """
+    _, labelled = _known(pages, rules)
+    seen, apart = labelled.filter("fold > 0"), labelled.filter("fold = 0")
+    model, rate = _fitted(seen)
+    judged = with_statistics(apart, seen, rate).select("y", *_bins()).select("y", model.margin().alias("m"))
+    loss = F.when(F.col("y") == 1, F.log1p(F.exp(-F.col("m")))).otherwise(F.log1p(F.exp("m")))
+    base = F.when(F.col("y") == 1, -math.log(max(rate, 1e-9))).otherwise(-math.log(max(1 - rate, 1e-9)))
+    return judged.agg(F.count("*").alias("n"), F.avg(((F.col("m") > 0) == (F.col("y") == 1)).cast("double")).alias("right"), F.avg(loss).alias("log_loss"), F.avg(base).alias("base_loss"))
+
+
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """The verdict on every URL: page_id, host, path, rule, verdict, score (the model's chance to block).
 
-    Null URLs and URLs without `://` have empty host and path and are judged by
-    the model. Repeated rows are judged alike. No rows give no rows.
+    Null and empty URLs and those without `://` have empty host and path and are
+    judged by the model. URLs are taken whole, however long. Repeated rows are judged
+    alike; of rules that fit the longest decides, of equally long ones the last. Other
+    columns, whatever their names, take no part. No rows give no rows.
     """
-    known = stage(lexical(pages).withColumn("hit", matched(F.col("host"), F.col("path"), rules)), "url-features")
-    labelled = known.filter("hit is not null").withColumn("y", (F.col("hit.verdict") == "block").cast("int")).withColumn("fold", F.pmod(F.xxhash64("url"), F.lit(FOLDS)))
-    rate = labelled.agg(F.coalesce(F.avg("y"), F.lit(0.5))).first()[0]
-    model = fit(with_statistics(labelled, labelled, rate, apart=True).select("y", *[binned(f).alias(f"b_{f}") for f in EDGES]))
-    scored = with_statistics(known, labelled, rate).select("page_id", "host", "path", "hit", *[binned(f).alias(f"b_{f}") for f in EDGES])
+    known, labelled = _known(pages, rules)
+    model, rate = _fitted(labelled)
+    scored = with_statistics(known, labelled, rate).select("page_id", "host", "path", "hit", *_bins())
     margin = model.margin()
     return scored.select(
         "page_id", "host", "path", F.col("hit.rule").alias("rule"),

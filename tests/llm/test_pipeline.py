@@ -50,3 +50,25 @@ def test_run_on_odd_rows(spark, odd_docs, tmp_path):
 def test_run_on_an_empty_table(spark, no_docs, tmp_path):
     no_docs.write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+HELPERS = "whole h doc id key planned at finish lang_pred score size copies copy row block lane class class_id kept n_rows _doc _id _h _k _key _finish _lang_pred held_out piece start length".split()
+
+
+def test_columns_of_the_caller_never_clash(spark, make_docs):
+    """Every name that an operator uses inside, and names in need of quotes, through all stages."""
+    rows = [(k, f"some words of text number {k % 30} that stay in this table {k % 30}", "en", f"s{k % 2}") for k in range(40)]
+    docs = make_docs(rows)
+    for k, name in enumerate([*HELPERS, "a.b", "with space"]):
+        docs = docs.withColumn(name, docs["doc_id"] * 100 + k)
+    plain = make_docs(rows)
+    for name, function in corpus_pipeline.STAGES:
+        out, docs, plain = docs, function(spark, docs, ""), function(spark, plain, "")
+        if name == "pack":
+            assert docs.columns == plain.columns
+            break
+        assert docs.columns == out.columns
+        got, expect = docs.collect(), plain.collect()
+        assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in expect)
+        for r in got:
+            assert [r[c] for c in docs.columns[5:]] == [r.doc_id * 100 + k for k in range(len(docs.columns) - 5)]

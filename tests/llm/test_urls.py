@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -69,10 +70,72 @@ def test_learns_held_out_urls(spark):
     assert sum((r.verdict == "block") == bool(r.bad) for r in got) >= 190
 
 
+def plain_boosting(bins, y):
+    """Oblivious boosting row by row: margins of all rows."""
+    n, pos = len(y), sum(y)
+    bias = math.log((pos + 1) / (n - pos + 1))
+    margin = [bias] * n
+    trees = []
+    for _ in range(urls.TREES):
+        p = [1 / (1 + math.exp(-m)) for m in margin]
+        g, h = [a - b for a, b in zip(y, p, strict=True)], [b * (1 - b) for b in p]
+        leaf, splits = [0] * n, []
+        for level in range(urls.DEPTH):
+            best = (1e-9, None)
+            for f in urls.EDGES:
+                for at in range(len(urls.EDGES[f])):
+                    gain = 0.0
+                    for own in set(leaf):
+                        rows = [k for k in range(n) if leaf[k] == own]
+                        one = [k for k in rows if bins[f][k] > at]
+                        sums = [(math.fsum(g[k] for k in r), math.fsum(h[k] for k in r)) for r in (rows, one)]
+                        (ga, ha), (g1, h1) = sums
+                        gain += g1 * g1 / (h1 + urls.RIDGE) + (ga - g1) ** 2 / (ha - h1 + urls.RIDGE) - ga * ga / (ha + urls.RIDGE)
+                    if gain > best[0] * (1 + 1e-9):
+                        best = (gain, (f, at))
+            if best[1] is None:
+                break
+            f, at = best[1]
+            splits.append(best[1])
+            leaf = [x + (bins[f][k] > at) * (1 << level) for k, x in enumerate(leaf)]
+        if not splits:
+            break
+        values = [0.0] * (1 << len(splits))
+        for own in set(leaf):
+            rows = [k for k in range(n) if leaf[k] == own]
+            values[own] = urls.RATE * math.fsum(g[k] for k in rows) / (math.fsum(h[k] for k in rows) + urls.RIDGE)
+        margin = [m + values[x] for m, x in zip(margin, leaf, strict=True)]
+        trees.append(splits)
+    return margin, trees
+
+
+def test_trees_are_those_of_plain_boosting(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet").limit(120)
+    _, labelled = urls._known(pages, urls.RULES)
+    rate = labelled.agg(urls.F.avg("y")).first()[0]
+    examples = urls.with_statistics(labelled, labelled, rate, apart=True).select("y", *urls._bins())
+    model = urls.fit(examples)
+    rows = examples.select("*", model.margin().alias("m")).collect()
+    margin, trees = plain_boosting({f: [r[f"b_{f}"] for r in rows] for f in urls.EDGES}, [r.y for r in rows])
+    assert [splits for splits, _ in model.trees] == trees
+    assert [r.m for r in rows] == pytest.approx(margin, abs=1e-6)
+
+
+def test_features_are_lexical_and_beat_the_rate_on_held_out_urls(spark):
+    assert set(urls.EDGES) == {"length", "path_length", "depth", "digit_ratio", "entropy", "params", "labels", "dashes", "host_suffix", "path_end"}
+    got = urls.held_out(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")).first()
+    assert got.n > 100 and got.log_loss < got.base_loss
+
+
+def test_long_urls_and_clashing_columns(spark):
+    long = "http://x.com/" + "a/" * 200_000
+    df = spark.createDataFrame([(1, long, "", 0, "h"), (1, long, "", 1, "h")], "page_id long, url string, html string, y int, fold string").withColumnsRenamed({"fold": "hit"})
+    rows = urls.judge(df).collect()
+    assert len(rows) == 2 and {len(r.path) for r in rows} == {400_001}
+
+
 @pytest.mark.parametrize("text", ["", "a", "abab", "http://x.net/é?"])
 def test_entropy(spark, text):
-    import math
-
     df = spark.createDataFrame([(text,)], "t string").select(urls._entropy(urls.F.col("t")).alias("e"))
     expect = -sum(text.count(c) / len(text) * math.log2(text.count(c) / len(text)) for c in set(text))
     assert df.first().e == pytest.approx(expect)
