@@ -367,10 +367,12 @@ def between(kept: DataFrame, similar: float) -> DataFrame:
     dealt = kept.join(sums, "a")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.greatest(F.col(n), F.lit(1)) - 1))
     own = lambda n: F.pmod(F.xxhash64("b"), F.greatest(F.col(n), F.lit(1))).cast("int")
-    body = ["a", "b", "class", "d", "weight", "keys", "changes"]
-    x = dealt.filter("open").select(*body, F.lit(0).alias("side"), own("across").alias("i"), all_of("down").alias("j"))
-    y = dealt.select(*body, F.lit(1).alias("side"), all_of("across").alias("i"), own("down").alias("j"))
-    return x.unionByName(y).groupBy("a", "i", "j").applyInArrow(lambda t: _tile(t, similar), "a long, b long")
+    body = ["b", "class", "d", "weight", "keys", "changes"]
+    x = dealt.filter("open").select("a", *body, F.lit(0).alias("side"), own("across").alias("i"), all_of("down").alias("j"))
+    y = dealt.select("a", *body, F.lit(1).alias("side"), all_of("across").alias("i"), own("down").alias("j"))
+    # One key, so that tiles are dealt anew: rows dealt by a alone would leave all tiles of a star in one task.
+    tiles_ = x.unionByName(y).select(F.struct("a", "i", "j").alias("tile"), "side", *body)
+    return tiles_.groupBy("tile").applyInArrow(lambda t: _tile(t, similar), "a long, b long")
 
 
 def text_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
