@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkframe import functions
 from larkframe import operators as K
 from larkframe.queries.statements import STATEMENTS
 
@@ -22,8 +23,11 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _statement(sql: str) -> Query:
     used = [t for t in TABLES if re.search(rf"\b{t}\b", sql)]
+    named = any(re.search(rf"(?i)\b{name}\(", sql) for name in functions.FUNCTIONS)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        if named:
+            functions.register(spark)
         for t in used:
             _read(spark, sf_dir, t).createOrReplaceTempView(t)
         return spark.sql(sql)
@@ -99,7 +103,7 @@ _MEASURES = "SUM({0}) AS sum, COUNT({0}) AS count, MIN({0}) AS min, MAX({0}) AS
 KERNELS: dict[str, tuple[Query, str]] = {
     "kernel_global_agg": (kernel_global_agg, f"SELECT {_MEASURES.format('l_quantity')} FROM lineitem"),
     "kernel_group_agg": (kernel_group_agg, f"SELECT l_partkey, {_MEASURES.format('l_quantity')} FROM lineitem GROUP BY l_partkey"),
-    "kernel_group_agg_dense": (kernel_group_agg_dense, "SELECT k AS o_custkey, COUNT(o_totalprice) AS count, MIN(o_totalprice) AS min, MAX(o_totalprice) AS max FROM (SELECT UNNEST(RANGE(0, 150)) AS k) LEFT JOIN orders ON o_custkey = k AND o_totalprice > 400000 GROUP BY k"),
+    "kernel_group_agg_dense": (kernel_group_agg_dense, "SELECT k AS o_custkey, COUNT(o_totalprice) AS count, MIN(o_totalprice) AS min, MAX(o_totalprice) AS max FROM (SELECT UNNEST(RANGE(0, (SELECT MAX(o_custkey) + 1 FROM orders))) AS k) LEFT JOIN orders ON o_custkey = k AND o_totalprice > 400000 GROUP BY k"),
     "kernel_semi_join_agg": (kernel_semi_join_agg, f"SELECT {_MEASURES.format('CAST(o_custkey AS DOUBLE)')} FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 40)"),
     "kernel_row_number": (kernel_row_number, "SELECT o_orderkey, o_totalprice, ROW_NUMBER() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS row_number FROM orders"),
     "kernel_peer_starts": (kernel_peer_starts, "SELECT o_custkey, o_orderkey, CASE WHEN LAG(o_custkey) OVER (ORDER BY o_custkey, o_orderkey) = o_custkey THEN 0 ELSE 1 END AS peer_start FROM orders"),

@@ -3,6 +3,7 @@
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from larkframe import operators as K
 
@@ -62,7 +63,7 @@ def test_running_sum(spark):
 @FEW
 @given(st.lists(st.one_of(st.none(), st.integers(-5, 5)), min_size=1, max_size=40), st.integers(2, 9))
 def test_ranges_do_not_change_results(spark, keys, ranges):
-    df = spark.createDataFrame(list(enumerate(keys)), "at long, k long").withColumn("s", __import__("pyspark").sql.functions.col("k").cast("string"))
+    df = spark.createDataFrame(list(enumerate(keys)), "at long, k long").withColumn("s", F.col("k").cast("string"))
     for key in ("k", "s"):
         order = sorted(range(len(keys)), key=lambda i: (keys[i] is None, (str(keys[i]) if key == "s" else keys[i]) if keys[i] is not None else 0, i))
         number = {i: n + 1 for n, i in enumerate(order)}
@@ -70,14 +71,12 @@ def test_ranges_do_not_change_results(spark, keys, ranges):
         first = {x: min(number[i] for i in number if text[i] == x) for x in set(text.values())}
         dense = {x: n + 1 for n, x in enumerate(sorted(first, key=first.get))}
         kw = {"ranges": ranges}
-        got = K.row_number(df, key, ties=["at"], **kw)
-        got = K.rank(got, key, **kw)
-        got = K.dense_rank(got, key, **kw)
-        got = K.peer_starts(got, key, ties=["at"], **kw)
-        got = K.running_sum(got, "peer_start", key, ties=["at"], **kw).collect()
-        for r in got:
-            assert (r.row_number, r["rank"], r.dense_rank, r.running_sum) == (number[r["at"]], first[keys[r["at"]]], dense[keys[r["at"]]], dense[keys[r["at"]]])
-            assert r.peer_start == int(number[r["at"]] == first[keys[r["at"]]])
+        out = [K.row_number(df, key, ties=["at"], **kw), K.rank(df, key, **kw), K.dense_rank(df, key, **kw), K.peer_starts(df, key, ties=["at"], **kw)]
+        numbers, ranks, denses, starts = ({r["at"]: r[-1] for r in x.collect()} for x in out)
+        peers = spark.createDataFrame([(i, keys[i], starts[i]) for i in starts], "at long, k long, peer_start int").withColumn("s", F.col("k").cast("string"))
+        sums = {r["at"]: r.running_sum for r in K.running_sum(peers, "peer_start", key, ties=["at"], **kw).collect()}
+        assert numbers == number and ranks == {i: first[keys[i]] for i in number} and denses == sums == {i: dense[keys[i]] for i in number}
+        assert starts == {i: int(number[i] == first[keys[i]]) for i in number}
 
 
 def test_descending_and_peers(spark):
@@ -99,3 +98,36 @@ def test_groups_add_up_to_the_whole(spark, sf):
     parts = K.group_agg(items, "l_partkey", "l_quantity").selectExpr("sum(sum) as s", "sum(count) as n").first()
     whole = K.global_agg(items, "l_quantity").first()
     assert (parts.s, parts.n) == (whole["sum"], whole["count"])
+
+
+def test_a_hot_key_is_cut_by_its_ties(spark, monkeypatch):
+    """One key in 90 % of the rows, and nulls: no range holds many rows, and numbers are those of a plain window."""
+    from larkframe.operators import ordered
+
+    monkeypatch.setattr(ordered, "PER_RANGE", 100)
+    df = spark.range(6000).selectExpr("id as at", "CASE WHEN id % 10 = 3 THEN id WHEN id % 50 = 0 THEN NULL ELSE 77 END as k", "id % 7 as v")
+    for descending in (False, True):
+        ranged = ordered._ranged(df, "k", descending, None, "at")
+        loads = [r["count"] for r in ranged.groupBy("_range").count().collect()]
+        assert max(loads) < 400
+        plain = "k " + ("DESC" if descending else "ASC") + " NULLS LAST"
+        df.createOrReplaceTempView("hot")
+        expect = {r["at"]: r.n for r in spark.sql(f"SELECT at, ROW_NUMBER() OVER (ORDER BY {plain}, at) AS n FROM hot").collect()}
+        got = {r["at"]: r.row_number for r in K.row_number(df, "k", ties=["at"], descending=descending).collect()}
+        assert got == expect
+    sums = {r["at"]: r.s for r in spark.sql("SELECT at, SUM(v) OVER (ORDER BY k ASC NULLS LAST, at ROWS UNBOUNDED PRECEDING) AS s FROM hot").collect()}
+    assert {r["at"]: r.running_sum for r in K.running_sum(df, "v", "k", ties=["at"]).collect()} == sums
+    peers = {r["at"]: (r.r, r.d, r.s) for r in spark.sql("SELECT at, RANK() OVER w AS r, DENSE_RANK() OVER w AS d, SUM(v) OVER w AS s FROM hot WINDOW w AS (ORDER BY k ASC NULLS LAST)").collect()}
+    both = K.running_sum(K.dense_rank(K.rank(df, "k"), "k"), "v", "k", peers=True)
+    assert {r["at"]: (r["rank"], r.dense_rank, r.running_sum) for r in both.collect()} == peers
+
+
+def test_ranges_grow_with_rows(spark, monkeypatch):
+    from larkframe.operators import ordered
+
+    monkeypatch.setattr(ordered, "PER_RANGE", 5)
+    monkeypatch.setattr(ordered, "BOUNDS", 16)
+    df = spark.range(4000).selectExpr("id * 3 as k")
+    loads = [r["count"] for r in ordered._ranged(df, "k", False, None).groupBy("_range").count().collect()]
+    assert len(loads) > 400 and max(loads) < 40
+    assert column(K.row_number(df, "k"), "row_number", ["k"]) == list(range(1, 4001))
