@@ -1,4 +1,4 @@
-"""The ten training-data queries, each over its whole intended table, and their SQL where SQL can express them."""
+"""The training-data queries, one for each operator and the search of op7, each over its whole intended table, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -41,6 +41,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(table(spark, sf_dir, "documents"))
 
 
+def near_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near(table(spark, sf_dir, "documents"))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted(table(spark, sf_dir, "conversations"))
 
@@ -62,6 +66,7 @@ def queries() -> dict[str, Query]:
         "op5_urls": op5_urls,
         "op6_counts": op6_counts,
         "op7_simhash": op7_simhash,
+        "near_fingerprints": near_fingerprints,
         "op8_chat": op8_chat,
         "op9_lm": op9_lm,
         "op10_langid": op10_langid,

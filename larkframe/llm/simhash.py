@@ -9,11 +9,13 @@ are summed up: only sums are shuffled.
 
 Near fingerprints: 64 bits are cut into `blocks` blocks; two fingerprints within
 the radius agree on at least blocks - radius of them. There is one table for each
-choice of that many blocks, keyed by the chosen bits moved to the front.
+choice of that many blocks, keyed by the chosen bits moved to the front. A key
+with many fingerprints is cut again by the bits that its table leaves out.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -29,6 +31,9 @@ RANGE = 2000
 MOST_BOUNDS = 512
 #: Ranges whose heads one task orders.
 BLOCK = 1 << 16
+#: Fingerprints of one key of a block table that are compared pairwise. Cutting a key again makes up to 20 rows of each
+#: of its fingerprints a level (three levels at most), so below this pairs are cheaper.
+BUCKET = 1 << 14
 
 
 def terms(text: Column) -> Column:
@@ -159,23 +164,74 @@ def digest(docs: DataFrame) -> DataFrame:
     )
 
 
+def _tables(bits: int, radius: int, blocks: int) -> list[list[tuple[int, int]]]:
+    """Per choice of blocks - radius of the blocks of `bits` bits, their spans (from, to)."""
+    edge = [bits * k // blocks for k in range(blocks + 1)]
+    return [[(edge[k], edge[k + 1]) for k in chosen] for chosen in combinations(range(blocks), blocks - radius)]
+
+
+def _others(bits: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans between those given."""
+    edges = [0, *[e for span in spans for e in span], bits]
+    return [(lo, hi) for lo, hi in zip(edges[::2], edges[1::2], strict=True) if lo < hi]
+
+
+def _gathered(x: Column, spans: list[tuple[int, int]]) -> Column:
+    """The bits of the spans, moved together."""
+    out, at = F.lit(0).cast("long"), 0
+    for lo, hi in spans:
+        bits = F.shiftrightunsigned(x, lo) if hi - lo == BITS else F.shiftrightunsigned(x, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
+        out, at = out.bitwiseOR(F.shiftleft(bits, at)), at + hi - lo
+    return out
+
+
 def near_fingerprints(fps: DataFrame, radius: int = 3, blocks: int = 6, fp: str = "fp") -> DataFrame:
     """All pairs (a, b, distance), a < b, of distinct fingerprints at most `radius` bits apart, each once.
 
     Equal fingerprints are one value here; join the pairs with their rows for
-    members. Null fingerprints take no part.
+    members. Null fingerprints take no part. Values that share a key of a table are
+    compared pairwise up to BUCKET of them. Beyond, they can differ only in the
+    bits that the table leaves out, which are cut into blocks again, so that no
+    key has more than BUCKET values in the end and no pair is lost.
+    """
+    rows = stage(fps.select(F.col(fp).alias("a")).filter("a is not null").distinct(), "simhash-values")
+    rows = rows.select("a", F.lit(0).cast("long").alias("bucket"), F.col("a").alias("x"))
+    bits, found = BITS, []
+    while True:
+        tables = _tables(bits, radius, blocks)
+        # Buckets are named by hashes: a collision only adds pairs to compare.
+        entry = [F.struct(F.xxhash64("bucket", F.lit(t), _gathered(F.col("x"), spans)).alias("bucket"), _gathered(F.col("x"), _others(bits, spans)).alias("x")) for t, spans in enumerate(tables)]
+        keyed = rows.select("a", F.explode(F.array(*entry)).alias("e")).select("a", "e.bucket", "e.x")
+        left = max(sum(hi - lo for lo, hi in _others(bits, spans)) for spans in tables)
+        last = left >= bits or 1 << left <= BUCKET
+        light = keyed
+        if not last:
+            full = stage(keyed.groupBy("bucket").count().filter(F.col("count") > BUCKET).select("bucket"), "simhash-full")
+            light = keyed.join(full, "bucket", "left_anti")
+        other = light.select(F.col("a").alias("b"), "bucket")
+        distance = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
+        found.append(light.select("a", "bucket").join(other, "bucket").filter((F.col("a") < F.col("b")) & (distance <= radius)).select("a", "b", distance.alias("distance")))
+        if last or full.isEmpty():
+            break
+        rows, bits = stage(keyed.join(full, "bucket", "left_semi"), "simhash-deeper"), left
+    return reduce(DataFrame.unionAll, found).distinct()
+
+
+def near(docs: DataFrame, radius: int = 3) -> DataFrame:
+    """How many documents each document has near it, by SimHash; one row per row.
+
+    Returns doc_id, fingerprint, copies (other rows with this fingerprint), links
+    (other fingerprints at most `radius` bits away), near (rows with one of those).
+    Null texts count as empty; all texts without words share the fingerprint 0.
+    Texts are taken whole, however long; repeated rows are copies; ties do not
+    matter. Other columns, whatever their names, take no part. No rows give no rows.
     """
-    values = fps.select(F.col(fp).alias("a")).filter("a is not null").distinct()
-    edge = [BITS * k // blocks for k in range(blocks + 1)]
-    masks = [sum(1 << b for b in range(lo, hi)) for lo, hi in zip(edge, edge[1:], strict=False)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in (sum(masks[k] for k in chosen) for chosen in combinations(range(blocks), blocks - radius))]
-    tables = F.posexplode(F.array(*[F.col("a").bitwiseAND(F.lit(m)) for m in signed])).alias("table", "key")
-    keyed = values.select("a", tables)
-    other = keyed.select(F.col("a").alias("b"), "table", "key")
-    pairs = keyed.join(other, ["table", "key"]).filter(F.col("a") < F.col("b"))
-    # A pair is kept by the first of the tables in which it meets.
-    same = F.col("a").bitwiseXOR(F.col("b"))
-    first = F.lit(None).cast("int")
-    for t, m in reversed(list(enumerate(signed))):
-        first = F.when(same.bitwiseAND(F.lit(m)) == 0, t).otherwise(first)
-    return pairs.filter((first == F.col("table")) & (F.bit_count(same) <= radius)).select("a", "b", F.bit_count(same).alias("distance"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    fps = stage(fingerprints(texts, ["doc_id", "h"]), "simhash-fps")
+    sizes = fps.groupBy("fp").agg(F.sum("n_rows").alias("members"))
+    pairs = near_fingerprints(fps, radius)
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("own"), F.col("b").alias("fp")), F.struct(F.col("b").alias("own"), F.col("a").alias("fp")))).alias("e")).select("e.*")
+    links = ends.join(sizes, "fp").groupBy(F.col("own").alias("fp")).agg(F.count("*").alias("links"), F.sum("members").alias("near"))
+    rows = fps.join(sizes.join(links, "fp", "left"), "fp").withColumn("row", F.explode(F.sequence(F.lit(1), "n_rows")))
+    zero = F.lit(0).cast("long")
+    return rows.select("doc_id", as_text(F.col("fp")).alias("fingerprint"), (F.col("members") - 1).alias("copies"), F.coalesce("links", zero).alias("links"), F.coalesce("near", zero).alias("near"))

@@ -102,3 +102,47 @@ def test_near_fingerprints(spark):
         own = sorted(set(whole))
         expect = [(a, b, d) for k, a in enumerate(own) for b in own[k + 1 :] if (d := bin((a ^ b) & (2**64 - 1)).count("1")) <= radius]
         assert got == sorted(expect)
+
+
+def apart(a, b):
+    return bin((a ^ b) & (2**64 - 1)).count("1")
+
+
+def test_near_in_full_buckets(spark, monkeypatch):
+    """Fingerprints that agree on most bits are cut again and again; no pair is lost, none is there twice."""
+    monkeypatch.setattr(simhash, "BUCKET", 16)
+    rng = random.Random(5)
+    base = [rng.getrandbits(64) for _ in range(3)]
+    values = {base[0] ^ x for x in range(64)} | {base[1] ^ x << 58 for x in range(64)}
+    values |= {base[2] ^ 1 << i ^ 1 << j for i in range(0, 64, 9) for j in range(0, 64, 9)}
+    own = sorted(signed(v) for v in values)
+    df = spark.createDataFrame([(v,) for v in own], "fp long")
+    for radius, blocks in ((2, 4), (1, 3)):
+        got = sorted((r.a, r.b, r.distance) for r in simhash.near_fingerprints(df, radius, blocks).collect())
+        assert got == sorted((a, b, d) for k, a in enumerate(own) for b in own[k + 1 :] if (d := apart(a, b)) <= radius)
+
+
+def near_brute(docs, radius=3):
+    prints = [(r.doc_id, brute_print(r.text or "")) for r in docs]
+    sizes = {}
+    for _, p in prints:
+        sizes[p] = sizes.get(p, 0) + 1
+    links = {p: [q for q in sizes if q != p and apart(int(p, 16), int(q, 16)) <= radius] for p in sizes}
+    return sorted(str((d, p, sizes[p] - 1, len(links[p]), sum(sizes[q] for q in links[p]))) for d, p in prints)
+
+
+def test_near_query(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    assert sorted(str(tuple(r)) for r in registry.near_fingerprints(spark, sf).collect()) == near_brute(docs)
+
+
+def test_near_odd_rows(odd_docs, no_docs, make_docs):
+    assert sorted(str(tuple(r)) for r in simhash.near(odd_docs).collect()) == near_brute(odd_docs.collect())
+    assert simhash.near(no_docs).count() == 0
+    text = " ".join(f"w{k}" for k in range(400))
+    docs = make_docs([(1, text), (1, text), (None, text), (2, text + " more"), (3, "something else")])
+    rows = simhash.near(docs).collect()
+    assert sorted(str(tuple(r)) for r in rows) == near_brute(docs.collect())
+    # One added word turns no bit of this text's fingerprint, so that row is a copy too.
+    assert brute_print(text) == brute_print(text + " more")
+    assert [r.copies for r in rows if r.fingerprint == brute_print(text)] == [3, 3, 3, 3]
