@@ -208,7 +208,8 @@ def near_fingerprints(fps: DataFrame, radius: int = 3, blocks: int = 6, fp: str
         if not last:
             full = stage(keyed.groupBy("bucket").count().filter(F.col("count") > BUCKET).select("bucket"), "simhash-full")
             light = keyed.join(full, "bucket", "left_anti")
-        other = light.select(F.col("a").alias("b"), "bucket")
+        # Merged: Spark takes exploded rows to be as small as their fingerprints, and would broadcast all tables at once.
+        other = light.select(F.col("a").alias("b"), "bucket").hint("merge")
         distance = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
         found.append(light.select("a", "bucket").join(other, "bucket").filter((F.col("a") < F.col("b")) & (distance <= radius)).select("a", "b", distance.alias("distance")))
         if last or full.isEmpty():
@@ -231,7 +232,8 @@ def near(docs: DataFrame, radius: int = 3) -> DataFrame:
     sizes = fps.groupBy("fp").agg(F.sum("n_rows").alias("members"))
     pairs = near_fingerprints(fps, radius)
     ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("own"), F.col("b").alias("fp")), F.struct(F.col("b").alias("own"), F.col("a").alias("fp")))).alias("e")).select("e.*")
-    links = ends.join(sizes, "fp").groupBy(F.col("own").alias("fp")).agg(F.count("*").alias("links"), F.sum("members").alias("near"))
-    rows = fps.join(sizes.join(links, "fp", "left"), "fp").withColumn("row", F.explode(F.sequence(F.lit(1), "n_rows")))
+    # Sizes and links grow with the texts, so the driver must never hold them.
+    links = ends.join(sizes.hint("merge"), "fp").groupBy(F.col("own").alias("fp")).agg(F.count("*").alias("links"), F.sum("members").alias("near"))
+    rows = fps.join(sizes.join(links.hint("merge"), "fp", "left").hint("merge"), "fp").withColumn("row", F.explode(F.sequence(F.lit(1), "n_rows")))
     zero = F.lit(0).cast("long")
     return rows.select("doc_id", as_text(F.col("fp")).alias("fingerprint"), (F.col("members") - 1).alias("copies"), F.coalesce("links", zero).alias("links"), F.coalesce("near", zero).alias("near"))

@@ -146,3 +146,11 @@ def test_near_odd_rows(odd_docs, no_docs, make_docs):
     # One added word turns no bit of this text's fingerprint, so that row is a copy too.
     assert brute_print(text) == brute_print(text + " more")
     assert [r.copies for r in rows if r.fingerprint == brute_print(text)] == [3, 3, 3, 3]
+
+
+def test_near_is_not_broadcast(spark, sf):
+    """However small Spark takes them to be, rows that grow with the texts are not gathered in the driver to be joined."""
+    plan = registry.near_fingerprints(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert len(joins) >= 4
+    assert not [line for line in joins if "SortMergeJoin" not in line and "LeftAnti" not in line]
