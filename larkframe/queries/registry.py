@@ -97,6 +97,12 @@ def win_row_number_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.row_number(_read(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_name", ties=["c_custkey"])
 
 
+def win_row_number_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SQL leaves open how equal prices of a part are ordered; here they go by l_orderkey, so that reruns agree."""
+    df = _read(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", "l_extendedprice")
+    return K.row_number(df, "l_extendedprice", ["l_partkey"], ["l_orderkey"], descending=True, name="rn")
+
+
 _MEASURES = "SUM({0}) AS sum, COUNT({0}) AS count, MIN({0}) AS min, MAX({0}) AS max, AVG({0}) AS avg"
 
 #: Kernels: how they run, and what they mean in SQL.
@@ -112,6 +118,7 @@ KERNELS: dict[str, tuple[Query, str]] = {
     "kernel_running_sum": (kernel_running_sum, "SELECT l_orderkey, l_extendedprice, l_quantity, SUM(l_quantity) OVER (ORDER BY l_orderkey, l_extendedprice ROWS UNBOUNDED PRECEDING) AS running_sum FROM lineitem"),
     "win_rank_global": (win_rank_global, "SELECT l_orderkey, l_extendedprice, l_quantity, RANK() OVER (ORDER BY l_quantity DESC) AS rank FROM lineitem"),
     "win_row_number_global": (win_row_number_global, "SELECT c_custkey, c_name, ROW_NUMBER() OVER (ORDER BY c_name, c_custkey) AS row_number FROM customer"),
+    "win_row_number_partition": (win_row_number_partition, "SELECT l_partkey, l_orderkey, l_extendedprice, CAST(ROW_NUMBER() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice DESC) AS BIGINT) AS rn FROM lineitem"),
     "win_running_sum_rows": (win_running_sum_rows, "SELECT o_orderkey, CAST(SUM(CAST(o_totalprice AS DECIMAL(12,2))) OVER (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS running_sum FROM orders"),
     "win_running_sum_range": (win_running_sum_range, "SELECT l_orderkey, l_extendedprice, l_quantity, SUM(l_quantity) OVER (ORDER BY l_orderkey) AS running_sum FROM lineitem"),
 }

@@ -118,7 +118,6 @@ _add("bench_q12", "SELECT l_partkey, l_orderkey, l_extendedprice, CAST(ROW_NUMBE
 
 # Windows.
 _add("win_rank_partition", "SELECT o_custkey, o_orderkey, o_totalprice, CAST(RANK() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) AS BIGINT) AS rnk FROM orders")
-_add("win_row_number_partition", "SELECT l_partkey, l_orderkey, l_extendedprice, CAST(ROW_NUMBER() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice DESC) AS BIGINT) AS rn FROM lineitem")
 _add("win_top_per_group", "SELECT o_custkey, o_orderkey, rn FROM (SELECT o_custkey, o_orderkey, CAST(ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) AS BIGINT) AS rn FROM orders) AS t WHERE rn <= 3")
 _add("win_running_sum_partition", "SELECT l_orderkey, l_extendedprice, SUM(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running FROM lineitem")
 _add("win_running_sum_peers", "SELECT l_orderkey, l_extendedprice, SUM(l_quantity) OVER (PARTITION BY l_partkey ORDER BY l_linenumber) AS running FROM lineitem")
